@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches sent to Python hold this many rows at most, unless the session says otherwise: texts can be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Workspace:
     """A folder under the shared one for the tables that one operator run writes and rereads.
 

@@ -18,7 +18,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).drop("source")
+    return mix(_table(spark, sf_dir, "documents"), Workspace(spark, "mix")).drop("source")
 
 
 QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_source_mix)}

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame functions only.
+"""Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A document's key is -ln(u) / quality, an exponential variable whose rate is the document's quality
 weight, u coming from a digest of seed and id, so reruns and retries agree. Sorted by key within a
@@ -18,17 +18,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import SPACE, text_of
+from casewright.llm.common import Workspace, bounded_batches
 
+#: ASCII characters that are neither letters nor white space.
+MARKS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
 
-def word_count(text: Column) -> Column:
-    """Stretches without white space: each one, with the white space around it, becomes a letter to count."""
-    blank = F.btrim(text, F.lit(SPACE)) == ""
-    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")
-    return F.when(blank, 0).otherwise(F.octet_length(marks)).cast("long")
+
+@F.pandas_udf("size long, quality double")
+def measured(texts: pd.Series) -> pd.DataFrame:
+    """Stretches without white space, and a rate from 0.5 to 2: the share of letters and white space, low for symbol noise.
+
+    Python's C string functions count words here several times faster than Java's regular expressions.
+    """
+    size, quality = np.zeros(len(texts), np.int64), np.ones(len(texts))
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        size[i] = len(raw.split())
+        quality[i] = 0.5 + 1.5 * len(raw.translate(None, MARKS)) / max(1, len(raw))
+    return pd.DataFrame({"size": size, "quality": quality})
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -37,12 +49,6 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """A rate between 0.5 and 2: the share of letters and spaces in the text, low for symbol noise."""
-    letters = F.length(F.regexp_replace(text, r"[\x21-\x40\x5B-\x60\x7B-\x7E]+", ""))
-    return F.lit(0.5) + 1.5 * letters / F.greatest(F.length(text), F.lit(1))
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``; there is a row for each source.
 
@@ -63,17 +69,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, quality: Column | None = None, whole: bool = False) -> DataFrame:
+def mix(df: DataFrame, ws: Workspace, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None, whole: bool = False) -> DataFrame:
     """``doc_id, size, source, source_size, target, taken``, a row for each document.
 
     The document at which a budget ends gives only the words that are left, or with ``whole`` all or none.
     """
-    text = text_of(df, text_col)
-    size = word_count(text) if size is None else size
-    quality = quality_weight(text, size) if quality is None else quality
-    docs = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), size.alias("size"), (-F.log(uniform(df[id_col], seed)) / quality).alias("key"))
+    bounded_batches(df.sparkSession)
+    docs = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), measured(df[text_col]).alias("m"), (df[quality_col] if quality_col else F.lit(None)).cast("double").alias("given"))
+    docs = docs.select("doc_id", "source", F.col("m.size").alias("size"), F.coalesce("given", "m.quality").alias("quality"))
+    docs = docs.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / F.greatest("quality", F.lit(1e-9))).alias("key"))
     docs = docs.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("key") * (buckets / 16.0))).cast("int"))
     docs = docs.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null: joins need no second exchange
+    docs = ws.keep(docs, "measured")  # texts are read once
 
     counts = docs.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
