@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.session import ship
+
 #: The six ASCII white-space characters of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same class as a Java regular expression.
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Batches sent to Python hold this many rows at most, unless the session says otherwise: texts can be long."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -105,3 +108,9 @@ def sum_by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     np.cumsum(values, out=total[1:])
     at = starts_of(lengths)
     return total[at[1:]] - total[at[:-1]]
+
+
+def numbered(words: list) -> tuple[np.ndarray, list]:
+    """Each word's number and the distinct words, in order of first appearance."""
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(place.__getitem__, words), np.int64, len(words)), list(place)

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm.common import Workspace
 from casewright.llm.exact_dedup import exact_groups
+from casewright.llm.piece_codec import encode
+from casewright.llm.quality_model import score_quality
+from casewright.llm.quality_rules import apply_rules
 from casewright.llm.source_mix import mix
+from casewright.llm.token_counts import token_counts
+
+#: The vocabulary of the token counter and the codec.
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "rules"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), Workspace(spark, "exact"))
 
@@ -21,7 +37,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), Workspace(spark, "mix")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_source_mix)}
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_exact_dedup, op6_source_mix, op7_piece_codec, op9_quality_model)}
 
 SQL = {
     "op4_exact_dedup": r"""
