@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm.common import Workspace
 from casewright.llm.exact_dedup import exact_groups
+from casewright.llm.jaccard_join import near_components
 from casewright.llm.piece_codec import encode
 from casewright.llm.quality_model import score_quality
 from casewright.llm.quality_rules import apply_rules
@@ -45,7 +46,11 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_exact_dedup, op6_source_mix, op7_piece_codec, op9_quality_model)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"), words=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_exact_dedup, op6_source_mix, op7_piece_codec, op9_quality_model, op10_jaccard_join)}
 
 SQL = {
     "op4_exact_dedup": r"""
