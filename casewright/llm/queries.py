@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from casewright.llm.common import Workspace
 from casewright.llm.exact_dedup import exact_groups
 from casewright.llm.jaccard_join import near_components
+from casewright.llm.line_dedup import repeated_units
+from casewright.llm.lm_score import score
 from casewright.llm.piece_codec import encode
 from casewright.llm.quality_model import score_quality
 from casewright.llm.quality_rules import apply_rules
 from casewright.llm.source_mix import mix
 from casewright.llm.token_counts import token_counts
+from casewright.llm.warc import round_trip
 
 #: The vocabulary of the token counter and the codec.
 VOCABULARY = "piece_bpe_32k.model"
@@ -22,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -34,6 +41,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), Workspace(spark, "exact"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"), Workspace(spark, "lm"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), Workspace(spark, "mix")).drop("source")
 
@@ -42,6 +53,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(_table(spark, sf_dir, "documents"), Workspace(spark, "lines")).drop("text_md5")
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
 
@@ -50,7 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_exact_dedup, op6_source_mix, op7_piece_codec, op9_quality_model, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc_chunks, op2_token_counts, op3_quality_rules, op4_exact_dedup, op5_lm_score, op6_source_mix, op7_piece_codec, op8_line_dedup, op9_quality_model, op10_jaccard_join)
+}
 
 SQL = {
     "op4_exact_dedup": r"""
