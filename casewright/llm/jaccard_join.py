@@ -334,3 +334,9 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     out = plain.filter("n > 0").join(known, "node").select("row", "doc_id", "n", "component_id", "class_size")
     none = plain.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return out.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
+
+
+def one_of_each(df: DataFrame, ws: Workspace, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``df`` that stay, whole: of each component those with the smallest id, and rows without id."""
+    found = near_components(df, ws, id_col=id_col, **how).filter("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return df.join(found, df[id_col] == F.col("_id"), "left_semi").unionByName(df.filter(df[id_col].isNull()))

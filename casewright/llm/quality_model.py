@@ -6,8 +6,8 @@ to the feature's table of bin values. Then the pairs of features whose joint res
 tables of their own, boosted in the same way by trees with one cut on each feature. Scoring adds looked-up
 bin values for arrays of rows.
 
-The model is fitted on the driver on a bounded sample of labelled rows (``sample``, by the order of a digest
-of the id); features are computed for all rows, and all rows are scored.
+The model is fitted on the driver on a bounded sample of labelled rows (``sample``, chosen by a digest of the
+id); all rows are scored, each by its whole text.
 
 Defined results: a null text counts as empty and is scored as such; without labels to learn from every
 score is 0.5; label rows that are null or repeat (highest counts) are tolerated; ids are passed through, null
@@ -16,7 +16,6 @@ and repeated ones included; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import Workspace, in_fold
-from casewright.llm.text_stats import COUNTS, with_stats
+from casewright.llm.common import in_fold
+from casewright.llm.text_stats import COUNTS, measure, with_stats
 
 
 def features(c: pd.DataFrame) -> np.ndarray:
@@ -148,18 +147,38 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
     return model
 
 
-def score_quality(df: DataFrame, labels: DataFrame, ws: Workspace, cutoff: float = 0.3, sample: int = 40_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def teach(df: DataFrame, labels: DataFrame, sample: int = 40_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AdditiveModel:
+    """Fit on about ``sample`` labelled rows outside fold 0, or on all if there are fewer; the sample goes by a digest of the id.
+
+    Ids and labels of the sample, bounded by it, are broadcast; the texts stay where they are.
+    """
+    marked = labels.select(labels[id_col].alias("_id"), labels[label_col].alias("_label")).filter("_label is not null and _id is not null")
+    marked = marked.filter(~in_fold("_id", 0, folds)).groupBy("_id").agg(F.max("_label").alias("_label"))
+    share = min(1.0, sample / max(1, marked.count()))
+    marked = marked.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    taught = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))
+    rows = with_stats(taught, "text", {"doc_id": "doc_id", "_label": "label"}).toPandas().sort_values(["doc_id", *COUNTS], ignore_index=True)
+    return fit(features(rows), (rows["label"].to_numpy(float) == 1).astype(float)) if len(rows) else AdditiveModel()
+
+
+def score_column(model: AdditiveModel):
+    """A function of a text column: the score."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(features(measure([t or "" for t in texts]))))
+
+    return score
+
+
+def score_quality(df: DataFrame, labels: DataFrame, cutoff: float = 0.3, sample: int = 40_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row; rows of fold 0 never teach."""
-    stats = ws.keep(with_stats(df, text_col, {id_col: "doc_id"}), "stats")
-    marked = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter("label is not null and doc_id is not null")
-    marked = marked.filter(~in_fold("doc_id", 0, folds)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    taught = stats.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "n_bytes").limit(sample).toPandas()
-    model = fit(features(taught), (taught["label"].to_numpy(float) == 1).astype(float)) if len(taught) else AdditiveModel()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            score = model.score(features(rows))
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": score, "predicted": (score >= cutoff).astype(np.int32)})
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    return stats.withColumn("held_out", in_fold("doc_id", 0, folds)).mapInPandas(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    score = score_column(teach(df, labels, sample, folds, id_col, text_col, label_col))
+    rows = df.select(df[id_col].alias("doc_id"), in_fold(df[id_col], 0, folds).alias("held_out"), score(df[text_col].cast("string")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+
+
+def good_documents(df: DataFrame, labels: DataFrame, cutoff: float = 0.3, **how) -> DataFrame:
+    """The rows of ``df`` that are not rejected, whole; nothing is shuffled."""
+    score = score_column(teach(df, labels, **how))
+    return df.filter(score(df[how.get("text_col", "text")].cast("string")) >= cutoff)

@@ -58,7 +58,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

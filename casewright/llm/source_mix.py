@@ -98,3 +98,13 @@ def mix(df: DataFrame, ws: Workspace, weights: Sequence[float] = (5, 2, 1), shar
     more = F.when(left >= F.col("size") / 2, F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left))
     source = F.when(F.col("source") != "", F.substring("source", 2, 2**31 - 1))
     return placed.select("doc_id", "size", source.alias("source"), "source_size", "target", (F.col("size") * F.col("epochs") + more).cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, whole documents only."""
+    key = F.sha1(F.concat_ws(":", df[id_col].cast("string"), F.coalesce(df[text_col].cast("string"), F.lit(""))).cast("binary"))
+    marked = df.withColumn("_key", key)
+    taken = mix(marked, ws, id_col="_key", text_col=text_col, source_col=source_col, whole=True, **how).filter("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
+    return marked.join(taken, "_key").withColumn("_turn", times).select(*df.columns)
