@@ -29,8 +29,7 @@ from casewright.llm.common import Workspace, bounded_batches
 MARKS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
 
 
-@F.pandas_udf("size long, quality double")
-def measured(texts: pd.Series) -> pd.DataFrame:
+def measure(texts: pd.Series) -> pd.DataFrame:
     """Stretches without white space, and a rate from 0.5 to 2: the share of letters and white space, low for symbol noise.
 
     Python's C string functions count words here several times faster than Java's regular expressions.
@@ -75,6 +74,11 @@ def mix(df: DataFrame, ws: Workspace, weights: Sequence[float] = (5, 2, 1), shar
     The document at which a budget ends gives only the words that are left, or with ``whole`` all or none.
     """
     bounded_batches(df.sparkSession)
+
+    @F.pandas_udf("size long, quality double")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return measure(texts)
+
     docs = df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), measured(df[text_col]).alias("m"), (df[quality_col] if quality_col else F.lit(None)).cast("double").alias("given"))
     docs = docs.select("doc_id", "source", F.col("m.size").alias("size"), F.coalesce("given", "m.quality").alias("quality"))
     docs = docs.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / F.greatest("quality", F.lit(1e-9))).alias("key"))
