@@ -1,0 +1,3 @@
+"""The case view and the queries; importing the package registers all of them."""
+
+from casewright.plans import queries_more  # noqa: F401
