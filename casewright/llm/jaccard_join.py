@@ -238,24 +238,27 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, sizes: Sizes,
     def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(rows):
             group = rows[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1), True])
-            found = [x for a, b in zip(cut, cut[1:], strict=False) for x in near_pairs(rows.iloc[a:b], sizes, nearest)]
+            cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1), True]).tolist()
+            columns = {c: rows[c].to_numpy() for c in ("node", "comp", "main", "block", "n", "map")}
+            found = []
+            for a, b in zip(cut, cut[1:], strict=False):
+                one = group[a, 1] == group[a, 2]
+                found += near_pairs({c: v[a:b] for c, v in columns.items()}, bool(one), sizes, nearest)
             if found:
                 yield pd.DataFrame({"a": [min(x) for x in found], "b": [max(x) for x in found]})
 
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def near_pairs(rows: pd.DataFrame, sizes: Sizes, nearest: bool) -> list[tuple[int, int]]:
-    """Pairs within one group of classes that share a key (see ``_across``)."""
-    node, comp, n = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
-    main, block, i, j = rows["main"].to_numpy(bool), rows["block"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
-    raw = [np.frombuffer(m, np.uint64) for m in rows["map"]]
+def near_pairs(group: dict[str, np.ndarray], one_block: bool, sizes: Sizes, nearest: bool) -> list[tuple[int, int]]:
+    """Pairs within one group of classes that share a key (see ``_across``); of two blocks only pairs across them."""
+    node, comp, n, main, block = group["node"], group["comp"], group["n"], group["main"].astype(bool), group["block"]
+    raw = [np.frombuffer(m, np.uint64) for m in group["map"]]
     width = min(map(len, raw))
-    grid = np.stack([np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in raw])  # larger bitmaps fold down
+    grid = np.stack([m if len(m) == width else np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in raw])  # larger bitmaps fold down
     out = []
     for x in np.flatnonzero(~main).tolist():
-        other = (comp != comp[x]) & ((block != block[x]) | (i == j)) & (main | (np.arange(len(node)) > x))
+        other = (comp != comp[x]) & ((block != block[x]) | one_block) & (main | (np.arange(len(node)) > x))
         other &= (100 * np.minimum(n, n[x]) >= sizes.percent * np.maximum(n, n[x]))
         y = np.flatnonzero(other)
         if not len(y):
@@ -321,11 +324,18 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     labels = components(links, ws, "central-comps")
 
     # what is left between components: the nearest, then all
-    for turn, nearest in enumerate((True, False)):
-        found = ws.keep(_across(shared, labels, maps, sizes, nearest), f"across{turn}")
+    found = ws.keep(_across(shared, labels, maps, sizes, nearest=True), "across0")
+    if found.head(1):
+        more = _verified(found, classes, *how, "across0", *args)
+        links = links.union(more)
+        labels = components(links, ws, "comps0")
+        # where all nearest candidates were links, nothing is left; else every candidate of keys with a failed one
+        failed = found.join(more, ["a", "b"], "left_anti")
+        nodes = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
+        keys = ws.keep(shared.join(nodes, "node", "left_semi").select("key").distinct(), "failed-keys")
+        found = ws.keep(_across(shared.join(keys, "key", "left_semi"), labels, maps, sizes, nearest=False).join(failed, ["a", "b"], "left_anti"), "across1")
         if found.head(1):
-            links = links.union(_verified(found, classes, *how, f"across{turn}", *args))
-            labels = components(links, ws, f"comps{turn}")
+            labels = components(links.union(_verified(found, classes, *how, "across1", *args)), ws, "comps1")
 
     named = classes.join(labels, "node", "left").select("node", "first", "class_size", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("first")["doc_id"].alias("component_id"))
