@@ -64,14 +64,19 @@ def rolling_count(df: DataFrame, key: str, time: str, seconds: int) -> DataFrame
     return df.withColumn("in_window", F.count("*").over(window))
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark; times without a zone are read in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def stream_unique(events: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """A stream without repeats of a key within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return timed(events, time, late).dropDuplicatesWithinWatermark([key])
 
 
 def stream_windows(events: DataFrame, time: str, width: str, late: str, by: str) -> DataFrame:
     """Counts by event-time window and key; late rows are dropped after the watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
+    return timed(events, time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, target: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -6,7 +6,7 @@ from casewright.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.driver.memory": "4g"}
-    session = build_session("local[4]", "tests", **conf)
+    session = build_session("local[2]", "tests", **conf)
     session.sparkContext.setLogLevel("ERROR")
     return session
 
