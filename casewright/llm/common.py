@@ -20,6 +20,10 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Spark's setting to delete an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -52,9 +56,17 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return it reread."""
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        """Write ``df`` as Parquet and return it reread; the write's own shuffle files go as soon as it is done."""
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(CLEAN_UP, None)
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                conf.unset(CLEAN_UP)
+            else:
+                conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
