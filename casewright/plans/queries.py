@@ -84,7 +84,7 @@ _SLICES_SQL = """sliced AS (
 @query(f"""WITH {_PAIRS_SQL}, {_SLICES_SQL}
     SELECT slice, count(*) AS n, round(avg(abs(prediction - y)), 4) AS mae, round(sqrt(avg((prediction - y) * (prediction - y))), 4) AS rmse,
            round(quantile_cont(abs(prediction - y), 0.5), 4) AS medae, round(quantile_cont(abs(prediction - y), 0.95), 4) AS p95ae,
-           round(1 - sum((prediction - y) * (prediction - y)) / (sum(y * y) - count(*) * avg(y) * avg(y)), 4) AS r2,
+           round(CASE WHEN sum(y * y) - count(*) * avg(y) * avg(y) > 1e-9 THEN 1 - sum((prediction - y) * (prediction - y)) / (sum(y * y) - count(*) * avg(y) * avg(y)) ELSE 0 END, 4) AS r2,
            count(CASE WHEN y > 0.5 THEN 1 END) AS n_positive,
            round(coalesce(avg(CASE WHEN y > 0.5 THEN abs(prediction - y) END), 0), 4) AS mae_positive_only,
            round(coalesce(100 * avg(CASE WHEN y > 0.5 THEN abs(prediction - y) / (y + 1) END), 0), 4) AS mape
