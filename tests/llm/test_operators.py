@@ -279,6 +279,23 @@ def test_repeated_lines_keep_the_first(spark, ws):
     assert cleaned == {0: texts[0], 1: "last", 2: texts[2], 3: "", 4: None, 5: ""}
 
 
+def test_passages_inside_lines_and_short_lines(spark, ws):
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [f"a b c {passage} d e f\nshort", f"other words then {passage} and more\nmore\nshort\nw1 w2", f"kept {passage}. {passage}."]
+    got = {r.doc_id: r for r in line_dedup.repeated_units(documents(spark, texts), ws, min_words=1).collect()}
+    left = []
+    for i, t in enumerate(texts):
+        for s in reversed(got[i].removed):
+            t = t[: s.start] + t[s.end :]
+        left.append(t)
+    assert left[0] == texts[0] and len(left[1].split()) < 35 and "more\nmore" in left[1] and "short" not in left[1] and left[1].endswith("w1 w2")
+    assert {s.first_doc_id for s in got[1].removed} == {0}
+    assert len(left[2].split()) < 50
+    ws.drop()
+    cleaned = {r.doc_id: r.text for r in line_dedup.without_repeats(documents(spark, texts), ws, min_words=1).collect()}
+    assert cleaned[0] == texts[0] and cleaned[1].split() == left[1].split() and cleaned[1].count("\n") == 2
+
+
 def test_lines_odd_rows_and_paragraphs(spark, odd, ws):
     assert line_dedup.repeated_units(odd, ws, min_words=1).count() == odd.count()
     assert [u[:2] for u in line_dedup.units("a b\nc\n \nd e f", True, 1)] == [(0, 5), (8, 13)]
