@@ -214,6 +214,16 @@ def test_lm_odd_rows(spark, odd, ws):
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id == 0} == {1}
 
 
+def test_lm_long_words_have_no_floor(spark, ws):
+    rng = random.Random(3)
+    held = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    texts = invented(100, 4) + [""] * 30
+    for i, size in zip(held, (1_000, 30_000), strict=True):
+        texts[i] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+    got = {r.doc_id: r for r in lm_score.score(documents(spark, texts), ws).collect()}
+    assert got[held[0]].score < -700 and got[held[1]].score < -20_000 and got[held[1]].bits_per_byte > 2
+
+
 def test_lm_empty_table(odd, ws):
     assert lm_score.score(odd.limit(0), ws).count() == 0
 
