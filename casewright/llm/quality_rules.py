@@ -1,19 +1,22 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
-A rule rejects a document whose statistic is beyond a cutoff. Which cutoff, is settled for each stratum
-(language) on the labelled documents: cutoffs of a fixed grid are tried from the loosest on, and one is
-certified while the exact binomial test rejects that the rule would drop more than its share ``risk / number
-of rules`` of good documents (which is to say, the Clopper-Pearson upper bound lies below it). Within a rule
-the fixed order of trying needs no correction; over rules and strata the level is divided by their number
-(Bonferroni). Of the certified cutoffs the loosest that drops the most bad documents is used, if it drops a
-larger share of them than of good ones. So with probability ``1 - level`` no stratum loses more than ``risk``
-of its good documents by these rules.
-
-What reaches the driver are counts by stratum, rule, grid step and label: their number does not depend on
+A rule rejects a document whose statistic is beyond a cutoff. The cutoffs of all rules are settled together, for
+each stratum (language), on the labelled documents. A third of these (by the id's crc32) proposes a path: for each
+budget of ``BUDGETS``, from none on, every rule takes the loosest cutoff of its grid that drops the most bad
+documents with no more than that share of the good ones, if it drops a larger share of bad ones. The other two
+thirds test the path: its steps are tried in order, and one is certified while the exact binomial test rejects that
+all rules at once would drop more than ``risk`` of the good documents (which is to say, the Clopper-Pearson upper
+bound lies below it). The fixed order of trying needs no correction, and the rules share one test; the level is
+divided by the number of strata (Bonferroni). Of the certified steps the first that drops the most bad documents is
+used. Languages whose good labels could not certify even a step that loses nothing are pooled into one stratum, with
+the next smallest language where they are still too few. So with probability ``1 - level`` no stratum, the pool
+being one, loses more than ``risk`` of its good documents by these rules.
+
+What reaches the driver are counts by stratum, label and step (of the grids, then of the paths): their number does not depend on
 the number of documents.
 
 Defined results: a null text has no words and fails the base rules; a null stratum is a stratum of its own;
-a stratum without enough labels has no cutoff and keeps what the base rules keep; repeated label rows of a
+a stratum without labels, and all where even together the labels are too few, have no cutoff and keep what the base rules keep; repeated label rows of a
 document count once, the highest label; label rows without document and documents without label are left
 out of the calibration; repeated rows give a row each; empty tables give no rows.
 """
@@ -26,9 +29,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import Workspace
+from casewright.llm.common import Workspace, in_fold
 from casewright.llm.text_stats import with_stats
 
+#: Shares of good documents that each rule may drop, step by step of the path.
+BUDGETS = (0, 0.0005, 0.001, 0.0015, 0.002, 0.003, 0.004, 0.005, 0.0075, 0.01)
+
 
 def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -73,24 +79,71 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int
     return best
 
 
+def pools(n_good: dict[str, int], risk: float, level: float) -> dict[str, int]:
+    """Each stratum's number, given its good labels for testing: its own where they could certify a cutoff, else that of a pool (0)."""
+    level = level / max(1, len(n_good))
+    need = math.ceil(math.log(level) / math.log1p(-risk))
+    order = sorted(n_good, key=lambda s: (n_good[s], s))
+    few = sum(n_good[s] < need for s in order)
+    while 0 < few < len(order) and sum(n_good[s] for s in order[:few]) < need:
+        few += 1
+    return {s: 0 if i < few else i - few + 1 for i, s in enumerate(order)}
+
+
+def proposed(good: dict[str, np.ndarray], bad: dict[str, np.ndarray]) -> list[dict[str, int]]:
+    """The path: for each budget the grid step of each rule, from counts by rule of documents that each step alone rejects."""
+    path: list[dict[str, int]] = []
+    for budget in BUDGETS:
+        at = {}
+        for rule in good:
+            n_good, n_bad = max(1, int(good[rule].sum())), int(bad[rule].sum())
+            lost, caught = np.cumsum(good[rule][:-1]), np.cumsum(bad[rule][:-1])
+            fit = np.flatnonzero((lost <= budget * n_good) & (caught * n_good > lost * n_bad))
+            if len(fit):
+                at[rule] = int(fit[np.argmax(caught[fit])])
+        if at and at not in path:
+            path.append(at)
+    return path
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, risk: float, level: float) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule. ``stats``: doc_id, stratum, counts; ``labels``: doc_id, label."""
     marked = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = rules()
+    joined = stats.join(marked, "doc_id").withColumn("tuning", in_fold("doc_id", 0, 3))
+    counted = [F.sum((F.col("label") == 1).cast("long")).alias("good"), F.sum((F.col("label") != 1).cast("long")).alias("bad")]
     # a rule's step: the number of grid cutoffs that are not below the statistic, so that the loosest that rejects is known
-    steps = [F.struct(F.lit(name).alias("rule"), _step(value, grid).alias("step")) for name, (value, grid) in rules().items()]
-    joined = stats.join(marked, "doc_id").select("stratum", "label", F.explode(F.array(*steps)).alias("s"))
-    found = joined.groupBy("stratum", "s.rule", "s.step").agg(F.sum((F.col("label") == 1).cast("long")).alias("good"), F.sum((F.col("label") != 1).cast("long")).alias("bad"))
-    counts: dict = {}
-    for r in found.collect():
-        grid = rules()[r["rule"]][1]
-        good, bad = counts.setdefault((r["stratum"], r["rule"]), (np.zeros(len(grid) + 1, np.int64), np.zeros(len(grid) + 1, np.int64)))
-        good[r["step"]] += r["good"]
-        bad[r["step"]] += r["bad"]
+    steps = [F.struct(F.lit(name).alias("rule"), _step(value, grid).alias("step")) for name, (value, grid) in known.items()]
+    found = joined.select("stratum", "tuning", "label", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "tuning", "s.rule", "s.step").agg(*counted).collect()
+    n_good = {r["stratum"]: 0 for r in found}
+    for r in found:
+        n_good[r["stratum"]] += r["good"] * (not r["tuning"] and r["rule"] == next(iter(known)))
+    pool = pools(n_good, risk, level)
+    counts = {p: tuple({name: np.zeros(len(grid) + 1, np.int64) for name, (_, grid) in known.items()} for _ in range(2)) for p in set(pool.values())}
+    for r in found:
+        if r["tuning"]:
+            for k, kind in enumerate(("good", "bad")):
+                counts[pool[r["stratum"]]][k][r["rule"]][r["step"]] += r[kind]
+    paths = {p: proposed(*c) for p, c in counts.items()}
+    step = F.lit(None).cast("int")
+    for stratum, p in pool.items():
+        rejected = F.lit(len(paths[p]))
+        for k in reversed(range(len(paths[p]))):
+            by_any = [known[name][0] > float(known[name][1][at]) for name, at in paths[p][k].items()]
+            rejected = F.when(F.greatest(*by_any, F.lit(False)), F.lit(k)).otherwise(rejected)
+        step = F.when(F.col("stratum") == stratum, rejected).otherwise(step)
+    tested = joined.filter("not tuning").groupBy("stratum", step.alias("step")).agg(*counted).collect() if pool else []
     out: dict[str, dict[str, float]] = {}
-    for (stratum, rule), (good, bad) in sorted(counts.items()):
-        k = choose(good, bad, risk / len(rules()), level / max(1, len(counts)))
+    for p, path in paths.items():
+        good, bad = np.zeros((2, len(path) + 1), np.int64)
+        for r in tested:
+            if pool[r["stratum"]] == p:
+                good[r["step"]] += r["good"]
+                bad[r["step"]] += r["bad"]
+        k = choose(good, bad, risk, level / max(1, len(n_good)))
         if k is not None:
-            out.setdefault(stratum, {})[rule] = float(rules()[rule][1][k])
+            for stratum in (s for s in pool if pool[s] == p):
+                out[stratum] = {name: float(known[name][1][at]) for name, at in path[k].items()}
     return out
 
 

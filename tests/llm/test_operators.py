@@ -135,6 +135,21 @@ def test_rules_hold_their_risk(spark, ws):
     assert lost <= 0.02 * 2400 and sum(r.kept for r in got if r.doc_id % 5 == 0) == 0
 
 
+def test_rules_reject_at_the_production_risk(spark, ws):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(10_000)) for _ in range(60)]
+        rows.append((i, " ".join(w + "#" * 9 if bad else w for w in words), ("en", "en", "en", "de", "fr")[i // 5 % 5]))
+        labels.append((i, 0 if bad else 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_rules.apply_rules(docs, marks, ws).collect()
+    assert sum(r.kept for r in got if r.doc_id % 5 == 0) == 0 and sum(not r.kept for r in got if r.doc_id % 5) <= 0.01 * 1200
+    assert quality_rules.pools({"en": 1400, "de": 330, "fr": 340, "es": 210}, 0.01, 0.05) == {"es": 0, "de": 0, "fr": 0, "en": 1}
+    assert quality_rules.pools({"en": 1400, "de": 30}, 0.01, 0.05) == {"de": 0, "en": 0}
+
+
 def test_rules_odd_rows(spark, odd, ws):
     none = spark.createDataFrame([(None, None), (1, 1), (1, 0), (99, 1)], "doc_id long, quality int")
     got = quality_rules.apply_rules(odd, none, ws).collect()
