@@ -90,7 +90,7 @@ _SLICES_SQL = """sliced AS (
            round(coalesce(100 * avg(CASE WHEN y > 0.5 THEN abs(prediction - y) / (y + 1) END), 0), 4) AS mape
     FROM sliced GROUP BY slice""")
 def metrics_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the nearest-neighbour predictions for overlapping slices."""
+    """Errors of the nearest-neighbour predictions for overlapping slices, over the targets (every ``TARGET_STEP``-th id)."""
     out = metrics.regression_metrics(metrics.slices(_predicted(spark, sf_dir)), ["slice"])
     return out.select("slice", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "medae", "p95ae", "r2")], "n_positive", *[F.round(c, 4).alias(c) for c in ("mae_positive_only", "mape")])
 
@@ -104,7 +104,7 @@ def metrics_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
            round(CASE WHEN 2 * tn + fp + fn > 0 THEN CAST(2 * tn AS DOUBLE) / (2 * tn + fp + fn) ELSE 0 END, 6) AS zero_f1 FROM c""")
 def zero_award_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an outcome is zero, as predicted, by slice."""
+    """Whether an outcome is zero, as predicted, by slice, over the targets (every ``TARGET_STEP``-th id)."""
     out = metrics.zero_metrics(metrics.slices(_predicted(spark, sf_dir)), ["slice"])
     return out.select("slice", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "zero_f1")])
 
