@@ -12,8 +12,10 @@ offers its empty segments.
 Candidates are verified on the sets themselves. Not all pairs in a group of near copies are looked at,
 only what the components need: first each class with the most central class it shares a segment with (the
 one whose segments are shared most), then what is left between different components, by bitmap distance,
-nearest first, and at last every pair of different components whose bitmaps allow a link. So no link that
-would join two components is lost, and no candidates are capped.
+nearest first, and at last every pair of different components whose bitmaps allow a link. That is done on one
+key in ``FIRST_KEYS`` and then on the others, where pairs that share a key of the first turn are passed over: a
+pair of near copies shares very many keys and would be found at each. So no link that would join two components
+is lost, and no candidates are capped.
 
 Only classes that share a segment are read again for their sets. Their ids are broadcast if they are few
 (``BROADCAST_IDS``), else joined by shuffle.
@@ -34,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import Workspace, bounded_batches, numbered, portions, starts_of
+from casewright.llm.common import Workspace, bounded_batches, fresh, numbered, portions, starts_of
 from casewright.llm.components import components
 
 #: Ids broadcast at most (16 bytes each and the table around them).
 BROADCAST_IDS = 500_000
+#: One key in so many belongs to the first turn; pairs that share several keys are met there, and seldom again.
+FIRST_KEYS = 16
 #: Rows of a block of one key's classes that one task compares.
 BLOCK = 4096
 
@@ -82,9 +86,9 @@ class Sizes:
         return np.where(k == 0, 1, -(-6 * (k + 1) // 5) + 6)
 
     def bits(self, n: np.ndarray) -> np.ndarray:
-        """Bits of a set's bitmap: a power of two of 64 or more, 8 to 16 for each difference allowed."""
+        """Bits of a set's bitmap: a power of two of 128 or more, 16 to 32 for each difference allowed."""
         k = np.maximum(8, self.apart(2 * np.maximum(n, 1)))
-        return np.left_shift(8, np.ceil(np.log2(k)).astype(np.int64))
+        return np.left_shift(16, np.ceil(np.log2(k)).astype(np.int64))
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +159,11 @@ def _sketched(df: DataFrame, words: int, sizes: Sizes, seed: int, id_col: str, t
     """``doc_id, n, node, check, keys, map``; within a task only the first of a class brings keys and bitmap."""
     bounded_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n long, node long, check long, keys array<long>, map binary")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for rows in batches:
-            texts = [t or "" for t in rows["text"]]
+        for column in batches:
+            texts = [t or "" for t in column]
             for part in portions(texts):
                 flat, n = shingle_sets(texts[part], words)
                 node, check, keys, maps = sketches(flat, n, sizes, seed)
@@ -168,10 +173,9 @@ def _sketched(df: DataFrame, words: int, sizes: Sizes, seed: int, id_col: str, t
                     seen.add(x)
                 if len(seen) > 2_000_000:
                     seen.clear()
-                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[part], "n": n, "node": node, "check": check, "keys": keys, "map": maps})
+                yield pd.DataFrame({"n": n, "node": node, "check": check, "keys": keys, "map": maps})
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInPandas(run, f"doc_id {id_type}, n long, node long, check long, keys array<long>, map binary")
+    return df.select(df[id_col].alias("doc_id"), sketched(df[text_col].cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def _sets(df: DataFrame, words: int, sizes: Sizes, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -196,9 +200,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, ws: Workspace
     wanted = ws.keep(nodes.join(classes, "node").select("node", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_k")), f"{name}-wanted")
     ids = wanted.select("_k").distinct()
     few = wanted.count() <= BROADCAST_IDS
-    texts = df.select(df[id_col], df[text_col]).withColumn("_k", F.coalesce(df[id_col].cast("string"), F.lit("")))
+    texts = df.select(F.coalesce(df[id_col].cast("string"), F.lit("")).alias("_k"), df[text_col].alias("text"))
     texts = texts.join(F.broadcast(ids) if few else ids, "_k", "left_semi")
-    sets = _sets(texts, words, sizes, seed, id_col, text_col).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = _sets(texts, words, sizes, seed, "_k", "text").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = ws.keep(sets, f"{name}-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
@@ -211,7 +215,8 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, sizes: Sizes,
     """Pairs (a, b) that share a key, lie in different components and whose bitmaps allow a link.
 
     ``nearest``: for a class and another component only the nearest. Of a key's components the one with
-    most classes is not compared with itself; large keys are dealt out in pairs of blocks.
+    most classes is not compared with itself; large keys are dealt out in pairs of blocks. ``maps`` brings a
+    class's keys of turns before (``done``): a pair that shares one of them has been looked at and is passed over.
     """
     placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -219,7 +224,7 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, sizes: Sizes,
     rows = placed.join(mixed_keys, "key").join(maps, "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", (F.col("comp") == F.col("most")).alias("main"), "n", "map")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", (F.col("comp") == F.col("most")).alias("main"), "n", "map", "done")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +244,7 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, sizes: Sizes,
         if len(rows):
             group = rows[["key", "i", "j"]].to_numpy()
             cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1), True]).tolist()
-            columns = {c: rows[c].to_numpy() for c in ("node", "comp", "main", "block", "n", "map")}
+            columns = {c: rows[c].to_numpy() for c in ("node", "comp", "main", "block", "n", "map", "done")}
             found = []
             for a, b in zip(cut, cut[1:], strict=False):
                 one = group[a, 1] == group[a, 2]
@@ -255,6 +260,7 @@ def near_pairs(group: dict[str, np.ndarray], one_block: bool, sizes: Sizes, near
     node, comp, n, main, block = group["node"], group["comp"], group["n"], group["main"].astype(bool), group["block"]
     raw = [np.frombuffer(m, np.uint64) for m in group["map"]]
     width = min(map(len, raw))
+    done = [frozenset() if d is None else frozenset(d.tolist()) for d in group["done"]]
     grid = np.stack([m if len(m) == width else np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in raw])  # larger bitmaps fold down
     out = []
     for x in np.flatnonzero(~main).tolist():
@@ -265,6 +271,8 @@ def near_pairs(group: dict[str, np.ndarray], one_block: bool, sizes: Sizes, near
             continue
         distance = np.bitwise_count(grid[y] ^ grid[x]).sum(1, dtype=np.int64)
         ok = distance <= sizes.apart(n[y] + n[x])
+        if done[x] and ok.any():
+            ok[ok] = [done[x].isdisjoint(done[k]) for k in y[ok].tolist()]
         y, distance = y[ok], distance[ok]
         if nearest and len(y):
             turn = np.lexsort((node[y], distance, comp[y]))
@@ -323,19 +331,26 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     links = _verified(pairs, classes, *how, "central", *args)
     labels = components(links, ws, "central-comps")
 
-    # what is left between components: the nearest, then all
-    found = ws.keep(_across(shared, labels, maps, sizes, nearest=True), "across0")
-    if found.head(1):
-        more = _verified(found, classes, *how, "across0", *args)
+    # what is left between components, a few of the keys first (most pairs share several): the nearest, then all
+    early = F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0
+    done = shared.filter(early).groupBy("node").agg(F.collect_list("key").alias("done"))  # no more than a text's own segments
+    for turn, (of, known) in enumerate(((early, maps.withColumn("done", F.lit(None).cast("array<long>"))), (~early, maps.join(done, "node", "left")))):
+        keyed = shared.filter(of)
+        found = ws.keep(_across(keyed, labels, known, sizes, nearest=True), f"nearest{turn}")
+        if not found.head(1):
+            continue
+        more = _verified(found, classes, *how, f"nearest{turn}", *args)
         links = links.union(more)
-        labels = components(links, ws, "comps0")
+        labels = components(links, ws, f"nearest{turn}-comps")
         # where all nearest candidates were links, nothing is left; else every candidate of keys with a failed one
         failed = found.join(more, ["a", "b"], "left_anti")
         nodes = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
-        keys = ws.keep(shared.join(nodes, "node", "left_semi").select("key").distinct(), "failed-keys")
-        found = ws.keep(_across(shared.join(keys, "key", "left_semi"), labels, maps, sizes, nearest=False).join(failed, ["a", "b"], "left_anti"), "across1")
+        keys = ws.keep(keyed.join(nodes, "node", "left_semi").select("key").distinct(), f"failed-keys{turn}")
+        rest = _across(keyed.join(keys, "key", "left_semi"), labels, known, sizes, nearest=False)
+        found = ws.keep(ws.keep(rest, f"rest{turn}").join(failed, ["a", "b"], "left_anti"), f"all{turn}")
         if found.head(1):
-            labels = components(links.union(_verified(found, classes, *how, "across1", *args)), ws, "comps1")
+            links = links.union(_verified(found, classes, *how, f"all{turn}", *args))
+            labels = components(links, ws, f"all{turn}-comps")
 
     named = classes.join(labels, "node", "left").select("node", "first", "class_size", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("first")["doc_id"].alias("component_id"))
@@ -348,5 +363,6 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
 
 def one_of_each(df: DataFrame, ws: Workspace, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``df`` that stay, whole: of each component those with the smallest id, and rows without id."""
-    found = near_components(df, ws, id_col=id_col, **how).filter("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(found, df[id_col] == F.col("_id"), "left_semi").unionByName(df.filter(df[id_col].isNull()))
+    own = fresh(df, "_id")[0]
+    found = near_components(df, ws, id_col=id_col, **how).filter("component_id = doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return df.join(found, df[id_col] == F.col(own), "left_semi").unionByName(df.filter(df[id_col].isNull()))
