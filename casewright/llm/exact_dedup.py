@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import SPACE_RE, Workspace, text_of
+from casewright.llm.common import SPACE_RE, Workspace, fresh, text_of
 
 #: Stands for the missing right half of an odd row of names.
 NO_NAME = -(2**63)
@@ -106,6 +106,7 @@ def exact_groups(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
 
 def drop_copies(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, whole."""
-    kept = exact_groups(df, ws, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("text_sha256").alias("_sha"))
-    marked = df.withColumn("_k", F.coalesce(df[id_col].cast("string"), F.lit(""))).withColumn("_sha", F.sha2(normalised(df, text_col), 256))
-    return marked.join(kept, ["_k", "_sha"], "left_semi").dropDuplicates(["_k", "_sha"]).select(*df.columns)
+    k, sha = fresh(df, "_k", "_sha")
+    kept = exact_groups(df, ws, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(k), F.col("text_sha256").alias(sha))
+    marked = df.withColumns({k: F.coalesce(df[id_col].cast("string"), F.lit("")), sha: F.sha2(normalised(df, text_col), 256)})
+    return marked.join(kept, [k, sha], "left_semi").dropDuplicates([k, sha]).select(*df.columns)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import Workspace, bounded_batches
+from casewright.llm.common import Workspace, bounded_batches, fresh
 
 _PARAGRAPH = re.compile(r"\n[\x20\x09-\x0D]*\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,9 +89,9 @@ def _local_minima(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out | ((np.repeat(length, length) >= 2 * RUN_WORDS) & ((np.arange(n) - np.repeat(same, length)) % RUN_WORDS == 0))
 
 
-def spans_of(start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, first: dict, run_words: int) -> list[tuple]:
-    """Spans (start, end, first document) to remove; ``first``: the first document of each repeated unit, by its number."""
-    out, units_, i = [], sorted(first), 0
+def spans_of(start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.ndarray, first: dict, run_words: int) -> tuple[list[tuple], int]:
+    """Spans (start, end, first document) to remove, and their words; ``first``: the first document of each repeated unit, by its number."""
+    out, units_, i, gone = [], sorted(first), 0, 0
     while i < len(units_):
         j = i + 1
         while j < len(units_) and units_[j] == units_[j - 1] + 1 and line[units_[j]] == line[units_[i]]:
@@ -100,13 +99,14 @@ def spans_of(start: np.ndarray, end: np.ndarray, words: np.ndarray, line: np.nda
         a, b = units_[i], units_[j - 1]
         whole = (a == 0 or line[a - 1] != line[a]) and (b + 1 == len(line) or line[b + 1] != line[b])
         if whole or words[a : b + 1].sum() >= run_words:
+            gone += int(words[a : b + 1].sum())
             for k, u in enumerate(units_[i:j]):
                 if k and first[u] == out[-1][2]:
                     out[-1] = (out[-1][0], int(end[u]), first[u])
                 else:
                     out.append((int(start[u]), int(end[u]), first[u]))
         i = j
-    return out
+    return out, gone
 
 
 def units(text: str, paragraphs: bool, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -132,47 +132,57 @@ def _newlines(text: str) -> list[int]:
     return out
 
 
-def repeated_units(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """A row for each document: ``doc_id, n_units, n_removed, removed_chars, removed`` (start, end, first_doc_id), ``text_md5``."""
+def repeated_units(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, row_col: str | None = None) -> DataFrame:
+    """A row for each document: ``doc_id, n_units, n_removed, removed_chars, n_words, removed_words, removed`` (start, end, first_doc_id), ``row``.
+
+    ``row_col`` may name a column of distinct numbers that tells rows apart, in order of rank for equal ids; else one is made.
+    """
     bounded_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [units(t or "", paragraphs, min_words) for t in rows["text"]]
-            cols = [[np.array([u[k] for u in row], np.int64) for row in found] for k in range(6)]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text_md5": rows["text_md5"], "start": cols[0], "end": cols[1], "high": cols[2], "low": cols[3], "words": cols[4], "line": cols[5]})
+    @F.pandas_udf("n_words long, start array<long>, end array<long>, high array<long>, low array<long>, words array<long>, line array<long>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        found = [units(t or "", paragraphs, min_words) for t in texts]
+        cols = [[np.array([u[k] for u in row], np.int64) for row in found] for k in range(6)]
+        n_words = [len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]
+        return pd.DataFrame({"n_words": n_words, "start": cols[0], "end": cols[1], "high": cols[2], "low": cols[3], "words": cols[4], "line": cols[5]})
 
     id_type = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    docs = df.select(df[id_col].alias("doc_id"), F.md5(text.cast("binary")).alias("text_md5"), text.alias("text"))
-    docs = docs.mapInPandas(run, f"doc_id {id_type}, text_md5 string, start array<long>, end array<long>, high array<long>, low array<long>, words array<long>, line array<long>")
-    docs = ws.keep(docs.withColumn("row", F.monotonically_increasing_id()), "units")
+    row = df[row_col] if row_col else F.monotonically_increasing_id()
+    docs = ws.keep(df.select(df[id_col].alias("doc_id"), row.alias("row"), cut(text).alias("c")).select("doc_id", "row", "c.*"), "units")
     each = docs.select("doc_id", "row", F.posexplode(F.arrays_zip("start", "end", "high", "low")).alias("unit", "u")).select("doc_id", "row", "unit", "u.*")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "unit")
     first = ws.keep(each.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"), "first")
     again = each.join(first, ["high", "low"]).filter((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
     again = again.groupBy("row").agg(F.collect_list(F.struct("unit", F.col("first.doc_id").alias("first_doc_id"))).alias("again"))
 
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [spans_of(s, e, w, k, {u["unit"]: u["first_doc_id"] for u in a}, run_words) if a is not None else [] for s, e, w, k, a in zip(*(rows[c] for c in ("start", "end", "words", "line", "again")), strict=True)]
-            removed = [[dict(zip(("start", "end", "first_doc_id"), x, strict=True)) for x in row] for row in found]
-            out = pd.DataFrame({"doc_id": rows["doc_id"], "n_units": rows["start"].map(len), "n_removed": [len(x) for x in found], "removed_chars": [sum(e - s for s, e, _ in x) for x in found]})
-            yield out.assign(removed=pd.Series(removed, index=out.index, dtype=object), text_md5=rows["text_md5"])
+    columns = ("start", "end", "words", "line", "again")
+
+    @F.pandas_udf(f"removed array<struct<start:long,end:long,first_doc_id:{id_type}>>, removed_words long")
+    def chosen(*series: pd.Series) -> pd.DataFrame:
+        found = [spans_of(s, e, w, k, {u["unit"]: u["first_doc_id"] for u in a}, run_words) for s, e, w, k, a in zip(*series, strict=True)]
+        removed = [[dict(zip(("start", "end", "first_doc_id"), x, strict=True)) for x in row] for row, _ in found]
+        return pd.DataFrame({"removed": pd.Series(removed, dtype=object), "removed_words": pd.Series([n for _, n in found], dtype="int64")})
 
-    joined = docs.join(again, "row", "left").select("doc_id", "text_md5", "start", "end", "words", "line", "again")
-    return joined.mapInPandas(chosen, f"doc_id {id_type}, n_units long, n_removed long, removed_chars long, removed array<struct<start:long,end:long,first_doc_id:{id_type}>>, text_md5 string")
+    # a row without repeats stays out of Python
+    joined = docs.join(again, "row", "left").select("doc_id", "row", "n_words", F.size("start").cast("long").alias("n_units"), *columns)
+    some = joined.filter("again is not null").select("doc_id", "row", "n_words", "n_units", chosen(*columns).alias("c")).select("doc_id", "row", "n_words", "n_units", "c.*")
+    none = joined.filter("again is null").select("doc_id", "row", "n_words", "n_units", F.array().cast(some.schema["removed"].dataType).alias("removed"), F.lit(0).cast("long").alias("removed_words"))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return some.unionByName(none).select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "n_words", "removed_words", "removed", "row")
 
 
 def without_repeats(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """``df`` with later occurrences cut out of the text (a whole line with its end), and their original offsets in ``removed``."""
-    found = repeated_units(df, ws, min_words, paragraphs, id_col, text_col, run_words).filter("n_removed > 0")
-    found = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("text_md5").alias("_m"), F.col("removed").alias("_removed")).dropDuplicates(["_k", "_m"])
+    row, spans = fresh(df, "_row", "_removed")
+    marked = ws.keep(df.withColumn(row, F.monotonically_increasing_id()), "marked")
+    found = repeated_units(marked, ws, min_words, paragraphs, id_col, text_col, run_words, row).filter("n_removed > 0")
+    found = found.select(F.col("row").alias(row), F.col("removed").alias(spans))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, of: pd.Series) -> pd.Series:
         out = []
-        for text, row in zip(texts, spans, strict=True):
+        for text, row in zip(texts, of, strict=True):
             parts, at, whole = [], 0, False
             for s in [] if row is None else row:
                 parts.append(text[at : s["start"]])
@@ -181,6 +191,5 @@ def without_repeats(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs
             out.append(text if text is None else "".join(parts) + text[at:])
         return pd.Series(out)
 
-    marked = df.withColumn("_k", F.coalesce(df[id_col].cast("string"), F.lit(""))).withColumn("_m", F.md5(F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary")))
-    joined = marked.join(found, ["_k", "_m"], "left")
-    return joined.select(*[cut(F.col(text_col).cast("string"), F.col("_removed")).alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("_removed").alias("removed"))
+    joined = marked.join(found, row, "left")
+    return joined.select(*[cut(F.col(text_col).cast("string"), F.col(spans)).alias(c) if c == text_col else F.col(c) for c in df.columns], F.col(spans).alias(fresh(df, "removed")[0]))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from casewright.llm.bpe import MARK, NEVER, PieceModel, WordCache, piece_model, pre_tokens
 from casewright.llm.common import bounded_batches, numbered, portions, ragged_take, starts_of, sum_by_row
@@ -238,30 +239,29 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     """``doc_id, pieces array<int>, n_pieces, round_trip``; the last says that decoding gives the text again."""
     bounded_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts = [t or "" for t in rows["text"]]
+    @F.pandas_udf("pieces array<int>, n_pieces long, round_trip boolean")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            texts = [t or "" for t in column]
             for part in portions(texts):
                 some = texts[part]
                 flat, n = encode_texts(some, model_path)
                 back = transducer(model_path).decode(flat, n)
                 same = [b == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for b, t in zip(back, some, strict=True)]
                 at = starts_of(n)
-                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[part], "pieces": [flat[a:b] for a, b in zip(at, at[1:], strict=False)], "n_pieces": n, "round_trip": same})
+                yield pd.DataFrame({"pieces": [flat[a:b] for a, b in zip(at, at[1:], strict=False)], "n_pieces": n, "round_trip": same})
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInPandas(run, f"doc_id {id_type}, pieces array<int>, n_pieces long, round_trip boolean")
+    return df.select(df[id_col].alias("doc_id"), coded(df[text_col].cast("string")).alias("c")).select("doc_id", "c.*")
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """``doc_id, text`` from piece ids; null pieces give an empty text, broken UTF-8 the replacement character."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            lists = [np.zeros(0, np.int32) if p is None else np.asarray(p, np.int32) for p in rows["pieces"]]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            texts = transducer(model_path).decode(np.concatenate(lists) if lists else np.zeros(0, np.int32), n)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "text": [t.decode("utf-8", "replace") for t in texts]})
+    @F.pandas_udf("string")
+    def read(pieces: pd.Series) -> pd.Series:
+        lists = [np.zeros(0, np.int32) if p is None else np.asarray(p, np.int32) for p in pieces]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        texts = transducer(model_path).decode(np.concatenate(lists) if lists else np.zeros(0, np.int32), n)
+        return pd.Series([t.decode("utf-8", "replace") for t in texts])
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[pieces_col].alias("pieces")).mapInPandas(run, f"doc_id {id_type}, text string")
+    return df.select(df[id_col].alias("doc_id"), read(df[pieces_col]).alias("text"))

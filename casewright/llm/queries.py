@@ -54,7 +54,7 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(_table(spark, sf_dir, "documents"), Workspace(spark, "lines"), min_words=1).drop("text_md5")
+    return repeated_units(_table(spark, sf_dir, "documents"), Workspace(spark, "lines"), min_words=1).drop("row")
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import Workspace, bounded_batches
+from casewright.llm.common import Workspace, bounded_batches, fresh
 
 #: ASCII characters that are neither letters nor white space.
 MARKS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
@@ -104,11 +104,13 @@ def mix(df: DataFrame, ws: Workspace, weights: Sequence[float] = (5, 2, 1), shar
     return placed.select("doc_id", "size", source.alias("source"), "source_size", "target", (F.col("size") * F.col("epochs") + more).cast("long").alias("taken"))
 
 
-def mixed_documents(df: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, whole documents only."""
-    key = F.sha1(F.concat_ws(":", df[id_col].cast("string"), F.coalesce(df[text_col].cast("string"), F.lit(""))).cast("binary"))
-    marked = df.withColumn("_key", key)
-    taken = mix(marked, ws, id_col="_key", text_col=text_col, source_col=source_col, whole=True, **how).filter("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return marked.join(taken, "_key").withColumn("_turn", times).select(*df.columns)
+def mixed_documents(df: DataFrame, ws: Workspace, text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, whole documents only; rows alike in all columns share their turns."""
+    key, times, turn = fresh(df, "_key", "_times", "_turn")
+    marked = df.withColumn(key, F.sha1(F.to_json(F.struct(*df.columns)).cast("binary")))
+    taken = mix(marked, ws, id_col=key, text_col=text_col, source_col=source_col, whole=True, **how)
+    # rows of one key are alike in all columns: one of them is repeated for all
+    taken = taken.filter("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias(times), F.count("*").alias(turn))
+    alone = marked.join(taken.filter(F.col(turn) == 1).drop(turn), key)
+    alike = marked.join(taken.filter(F.col(turn) > 1).drop(turn), key).dropDuplicates([key])
+    return alone.unionByName(alike).filter(F.col(times) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*df.columns)

@@ -5,13 +5,12 @@ Words are stretches without ASCII white space, as ``bytes.split()`` finds them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from casewright.llm.common import bounded_batches, numbered, portions, starts_of, sum_by_row
+from casewright.llm.common import bounded_batches, numbered, portions, sum_by_row
 
 _ASCII = bytes(range(128))
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -81,14 +80,9 @@ def with_stats(df: DataFrame, text_col: str, keep: dict[str, str]) -> DataFrame:
     """The columns ``keep`` (old name: new name) and the ``COUNTS`` of the text."""
     bounded_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            counts = measure([t or "" for t in rows["_text"]])
-            yield pd.concat([rows[list(keep.values())].reset_index(drop=True), counts], axis=1)
-
-    chosen = df.select(*[df[a].alias(b) for a, b in keep.items()], df[text_col].cast("string").alias("_text"))
-    kept = ", ".join(f"{b} {df.schema[a].dataType.simpleString()}" for a, b in keep.items())
-    return chosen.mapInPandas(run, f"{kept}, " + ", ".join(f"{k} long" for k in COUNTS))
-
+    @F.pandas_udf(", ".join(f"{k} long" for k in COUNTS))
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        return measure([t or "" for t in texts])
 
-__all__ = ["COUNTS", "measure", "starts_of", "with_stats"]
+    chosen = df.select(*[df[a].alias(b) for a, b in keep.items()], counts(df[text_col].cast("string")).alias("m"))
+    return chosen.select(*keep.values(), "m.*")

@@ -6,17 +6,16 @@ all pre-tokens at once, until no pair is left (see ``bpe.PieceModel.merge``). Th
 are counted, letters outside the vocabulary by their bytes.
 
 Defined results: a null text counts as empty and has 0 bytes and 0 tokens; ids are passed through,
-nulls and repeated rows included; an empty table gives no rows; other columns are not looked at.
-Work is by row: nothing is shuffled.
+nulls and repeated rows included (they never enter Python); an empty table gives no rows; other columns are
+not looked at. Work is by row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from casewright.llm.bpe import WordCache, piece_model, pre_tokens
 from casewright.llm.common import bounded_batches, numbered, portions, sum_by_row
@@ -41,12 +40,11 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row."""
     bounded_batches(df.sparkSession)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts = [t or "" for t in rows["text"]]
-            n = count_tokens(texts, model_path)
-            size = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
+    @F.pandas_udf("n_bytes long, n_tokens long")
+    def count(column: pd.Series) -> pd.DataFrame:
+        texts = [t or "" for t in column]
+        size = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
+        return pd.DataFrame({"n_bytes": size, "n_tokens": count_tokens(texts, model_path)})
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInPandas(count, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    rows = df.select(df[id_col].alias("doc_id"), count(df[text_col].cast("string")).alias("m"))
+    return rows.select("doc_id", "m.n_bytes", "m.n_tokens", (F.col("m.n_tokens") > limit).alias("over_limit"))

@@ -12,6 +12,9 @@ Which that is, is settled by aggregating narrow rows (id and digest) before payl
 Archives go to the workspace in the shared folder. A task writes files with new names and returns them
 as rows; the table of these rows says which files count, so a task that is run again leaves no doubt.
 
+Ids travel as text, so large ones next to nulls keep every digit. Payloads count as equal if SHA-1, a second hash
+and size are.
+
 Defined results: a null payload is empty; a null url is left out; a null id is written as such, revisits
 if there is an id with the payload and otherwise is a response; repeated rows of the largest id are all
 responses; an empty table makes no archives and no rows; other columns are not looked at.
@@ -24,6 +27,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +37,7 @@ from casewright.llm.common import Workspace, bounded_batches
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 64 << 10
-INDEX = "archive string, page_id {id}, url string, record_type string, refers_to {id}, payload_digest string, chunk int, data binary, bytes_so_far long, digest_so_far string, last boolean"
+INDEX = "archive string, page_id string, url string, record_type string, refers_to string, payload_digest string, chunk int, data binary, bytes_so_far long, digest_so_far string, last boolean"
 
 
 def base32(digest: bytes) -> str:
@@ -44,9 +48,9 @@ def roles(pages: DataFrame, least: int, id_col: str, html_col: str) -> DataFrame
     """``pages`` as id, url, body, size, sha and the id of the response with an equal payload."""
     body = F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(pages[id_col].alias("id"), (pages["url"].cast("string") if "url" in pages.columns else F.lit(None).cast("string")).alias("url"), body.alias("body"))
-    rows = rows.withColumn("size", F.octet_length("body").cast("long")).withColumn("sha", F.sha1("body"))
-    first = rows.groupBy("sha").agg(F.max("id").alias("first"))
-    return rows.join(first, "sha").withColumn("refers_to", F.when((F.col("size") >= least) & (F.col("id").isNull() | (F.col("id") != F.col("first"))), F.col("first")))
+    rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "sha": F.sha1("body"), "other": F.xxhash64("body")})
+    first = rows.groupBy("sha", "other", "size").agg(F.max("id").alias("first"))
+    return rows.join(first, ["sha", "other", "size"]).withColumn("refers_to", F.when((F.col("size") >= least) & (F.col("id").isNull() | (F.col("id") != F.col("first"))), F.col("first")))
 
 
 def write_warc(pages: DataFrame, ws: Workspace, least: int = 0, chunk: int = CHUNK, roll: int = 256 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 2, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -56,7 +60,7 @@ def write_warc(pages: DataFrame, ws: Workspace, least: int = 0, chunk: int = CHU
     chunks = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk))).cast("int")
     rows = rows.withColumn("n", chunks).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     piece = F.when(F.col("refers_to").isNull(), F.expr(f"substring(body, k * {int(chunk)} + 1, {int(chunk)})"))
-    rows = rows.select("id", "url", "size", "sha", "refers_to", "n", "k", piece.alias("data"))
+    rows = rows.select(F.col("id").cast("string").alias("id"), "url", "size", "sha", F.col("refers_to").cast("string").alias("refers_to"), "n", "k", piece.alias("data"))
     folder = f"{ws.path}/archives"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,19 +105,24 @@ def write_warc(pages: DataFrame, ws: Workspace, least: int = 0, chunk: int = CHU
     return ws.keep(rows.mapInPandas(write, "archive string, records long, bytes long"), "manifest")
 
 
-def _id(value: object) -> str:
-    return "null" if value is None or value != value else str(int(value))
+def _urn(value: str | None) -> str:
+    """An id, as text, in a record's identifier."""
+    return "<urn:page>" if value is None else f"<urn:page:{quote(value)}>"
+
+
+def _id_in(urn: str | None) -> str | None:
+    return None if urn is None or urn == "<urn:page>" else unquote(urn[len("<urn:page:") : -1])
 
 
 def _head(r, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.size}\r\n\r\n".encode()
     revisit = r.data is None
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{_id(r.id)}>"), ("WARC-Date", date),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(r.id)), ("WARC-Date", date),
         ("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(r.sha))), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http) + (0 if revisit else r.size)),
     ]
     if revisit:
-        fields[3:3] = [("WARC-Refers-To", f"<urn:page:{_id(r.refers_to)}>"), ("WARC-Profile", REVISIT)]
+        fields[3:3] = [("WARC-Refers-To", _urn(r.refers_to)), ("WARC-Profile", REVISIT)]
     if r.url is not None:
         fields.insert(3, ("WARC-Target-URI", r.url.replace("\r", "%0D").replace("\n", "%0A")))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + http
@@ -174,7 +183,7 @@ def _fields(stream: _Stream) -> tuple[dict[str, str], int]:
 
 def records(raw, chunk: int = CHUNK) -> Iterator[tuple]:
     """The rows of one archive: page id, url, type, refers to, digest, chunk, data, bytes and digest so far, last."""
-    stream, number = _Stream(raw), lambda urn: None if urn is None or urn.endswith(":null>") else int(urn[len("<urn:page:") : -1])
+    stream = _Stream(raw)
     while (line := stream.line()) is not None:
         if not line:
             continue
@@ -184,7 +193,7 @@ def records(raw, chunk: int = CHUNK) -> Iterator[tuple]:
         http, taken = _fields(stream)
         size = int(head["content-length"]) - taken - status
         digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-        start = (number(head["warc-record-id"]), head.get("warc-target-uri"), kind, number(head.get("warc-refers-to")), digest)
+        start = (_id_in(head["warc-record-id"]), head.get("warc-target-uri"), kind, _id_in(head.get("warc-refers-to")), digest)
         if kind == "revisit":
             yield (*start, 0, None, int(http["content-length"]), digest, True)
             continue
@@ -216,17 +225,13 @@ def read_warc(archives: DataFrame, id_type: str = "long", chunk: int = CHUNK, da
                         rows.append((archive, *r) if data else (archive, *r[:6], None, *r[7:]))
                         held += len(r[6] or b"") if data else 0
                         if held > 8 << 20 or len(rows) >= 5000:
-                            yield _frame(rows, names)
+                            yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows, names)
-
-    return archives.select("archive").mapInPandas(read, INDEX.format(id=id_type))
-
+                        yield pd.DataFrame(rows, columns=names)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    table = archives.select("archive").mapInPandas(read, INDEX)
+    return table.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, ws: Workspace, least: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -431,3 +431,60 @@ def test_near_odd_rows(spark, odd, ws):
 
 def test_near_empty_table(odd, ws):
     assert jaccard_join.near_components(odd.limit(0), ws).count() == 0
+
+
+# all
+
+
+BIG = 2**60 + 1
+NAMES = ("_id", "_k", "_sha", "_m", "_key", "_removed", "_times", "_row", "_turn", "_label", "row", "node", "done", "size", "bucket", "key", "removed")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Ids beyond 2^53 beside a null one, and columns with the names that operators use for themselves."""
+    texts = [" ".join(f"w{i}" for i in range(60)), "other text here", None]
+    rows = [(None, texts[0], "en", "s"), (BIG, texts[0], "en", "s"), (BIG + 2, texts[1], "de", "t"), (BIG + 4, texts[2], None, None)]
+    return spark.createDataFrame([(*r, *["x"] * len(NAMES)) for r in rows], DOCS + "".join(f", {c} string" for c in NAMES))
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_large_ids_beside_nulls_and_clashing_names(spark, clashing, ws, n):
+    labels = spark.createDataFrame([(BIG, 1, 0), (BIG + 2, 0, 0)], LABELS)
+    if n == 1:
+        got = warc.round_trip(clashing.withColumnsRenamed({"doc_id": "page_id", "text": "html"}), ws).withColumnRenamed("page_id", "doc_id")
+    else:
+        got = {
+            2: lambda: token_counts.token_counts(clashing, MODEL), 3: lambda: quality_rules.apply_rules(clashing, labels, ws), 4: lambda: exact_dedup.exact_groups(clashing, ws), 5: lambda: lm_score.score(clashing, ws), 6: lambda: source_mix.mix(clashing, ws),
+            7: lambda: piece_codec.encode(clashing, MODEL), 8: lambda: line_dedup.repeated_units(clashing, ws), 9: lambda: quality_model.score_quality(clashing, labels), 10: lambda: jaccard_join.near_components(clashing, ws),
+        }[n]()
+    rows = got.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(["None", str(BIG), str(BIG + 2), str(BIG + 4)])
+    if n == 1:
+        assert {(r.doc_id, r.refers_to) for r in rows if r.record_type == "revisit"} == {(None, BIG)}
+    if n == 4:
+        assert {(r.doc_id, r.keep_id) for r in rows} == {(None, BIG), (BIG, BIG), (BIG + 2, BIG + 2), (BIG + 4, BIG + 4)}
+    if n == 8:
+        assert [[s.first_doc_id for s in r.removed] for r in rows if r.doc_id is None] == [[BIG]]
+    if n == 10:
+        assert {r.component_id for r in rows} == {BIG, BIG + 2, BIG + 4}
+
+
+def test_stages_keep_clashing_columns(spark, clashing, ws):
+    before = {tuple(r) for r in clashing.collect()}
+    kept = [tuple(r) for r in exact_dedup.drop_copies(clashing, ws).collect()]
+    assert len(kept) == 3 and set(kept) <= before
+    ws.drop()
+    near = [tuple(r) for r in jaccard_join.one_of_each(clashing, ws).collect()]
+    assert len(near) == 4 and set(near) <= before
+    ws.drop()
+    mixed = [tuple(r) for r in source_mix.mixed_documents(clashing.unionByName(clashing), ws).collect()]
+    assert set(mixed) <= before and mixed
+    ws.drop()
+    lines = line_dedup.without_repeats(clashing.unionByName(clashing), ws)
+    assert lines.columns == [*clashing.columns, "removed_"]
+    texts = sorted(r.text or "" for r in lines.filter("lang = 'en'").collect())
+    assert texts[:3] == [""] * 3 and texts[3].startswith("w0")  # the first of four copies stays
