@@ -205,23 +205,85 @@ def test_lm_base_and_probabilities(spark, ws):
         assert got[i].score < 0
 
 
-def test_bit_predictors_sum_to_one():
-    model = lm_score.Mixer()
-    words = [w.encode() for w in invented(1, 6, 400)[0].split()]
-    lm_score.count_bits(words, np.ones(len(words)), model.zeros, model.ones)
-    lm_score.learn(model, words, np.ones(len(words)))
-    flat = np.arange(256, dtype=np.uint8)
-    # the probabilities of all values of a word's first byte
-    total = 0.0
-    for value in flat.tolist():
-        data, n, place = np.array([value], np.uint64), np.array([1]), np.array([0])
-        context, log = lm_score.contexts(data, n, place), 0.0
-        for node, bit in lm_score.each_bit(data):
-            x, gate = model.inputs(context, node, bit, np.float32(0), place)
-            p = model.corrected(model.logit(x, gate), gate)
-            log += float(np.log(np.where(bit > 0, p, 1 - p))[0])
-        total += math.exp(log)
-    assert total == pytest.approx(1, abs=1e-4)
+def lm_model(bodies):
+    table = np.zeros(lm_score.LINES * 16, np.uint32)
+    lm_score.count_halves(bodies, table)
+    return lm_score.Mixer(lm_score.log_odds(table))
+
+
+def test_next_bytes_sum_to_one():
+    bodies = [lm_score.body_of(t) for t in invented(40, 6, 60)]
+    model = lm_model(bodies)
+    lm_score.learn(model, np.zeros(model.weights.shape), np.zeros((2, lm_score.GATES * lm_score.BUCKETS)), bodies, [[] for _ in bodies])
+    for start in (b"", b"ab", bodies[0][:20]):
+        whole = lm_score.log2_texts(model, [start, *(start + bytes([c]) for c in range(256))], [[(0, b"abc")]] * 257)
+        assert sum(2.0 ** (whole[1:] - whole[0])) == pytest.approx(1, abs=1e-3)
+
+
+def plain_log2(training, body, expected):
+    """A text's bits one by one, with dictionaries for tables; the starting weights."""
+    halves = {}
+
+    def keys(text, i):
+        before = (b"\n" * 8 + text)[: i + 8]
+        word = re.search(rb"[^ \n]*$", before).group()
+        rest = before[: len(before) - len(word) - 1]
+        return [(k, before[-k:]) for k in (1, 2, 3, 4)] + [("w", word), ("p", re.search(rb"[^ \n]*$", rest).group(), word)]
+
+    for text in training:
+        for i, c in enumerate(text):
+            for key in keys(text, i):
+                for half, value in ((None, c >> 4), (c >> 4, c & 15)):
+                    halves.setdefault((key, half), Counter())[value] += 1
+    total, alive = 0.0, True
+    for i, c in enumerate(body):
+        want = expected[i] if alive and i < len(expected) else None
+        for bit in range(8):
+            part, known = bit % 4, (None if bit < 4 else c >> 4)
+            nibble = c >> 4 if bit < 4 else c & 15
+            one = nibble >> (3 - part) & 1
+            z = 0.0
+            for key in keys(body, i):
+                counts = halves.get((key, known), {})
+                n = [sum(v for h, v in counts.items() if h >> (4 - part) == nibble >> (4 - part) and (h >> (3 - part) & 1) == side) for side in (0, 1)]
+                z += 0.3 / 16 * max(-127, min(127, round(16 * math.log((n[1] + 0.4) / (n[0] + 0.4)))))
+            if want is not None and want >> (8 - bit) == c >> (8 - bit):
+                z += math.log(i + lm_score.REACH + 1.5) * (1 if want >> (7 - bit) & 1 else -1)
+            total += math.log2(1 / (1 + math.exp(-z if one else z)))
+        alive = alive and want == c
+    return total
+
+
+def test_scores_against_plain_bits():
+    bodies = [lm_score.body_of(t) for t in ("the cat sat on the mat", "The dog sat on a log é", "")]
+    model = lm_model(bodies)
+    for body in (b"the dog sat on the cat\n", b"zzz\n", b"\n", bodies[1]):
+        assert lm_score.log2_texts(model, [body], [[]])[0] == pytest.approx(plain_log2(bodies, body, b""), rel=1e-3)
+        assert lm_score.log2_texts(model, [body], [[(0, b"the dog was")]])[0] == pytest.approx(plain_log2(bodies, body, b"the dog was"), rel=1e-3)
+
+
+def test_stretches_do_not_depend_on_neighbours():
+    bodies = [lm_score.body_of(t) for t in invented(60, 16, 400)] + [lm_score.body_of("w " * 3000)]
+    model = lm_model(bodies[:30])
+    together = lm_score.log2_texts(model, bodies, [[] for _ in bodies])
+    assert together == pytest.approx([lm_score.log2_texts(model, [b], [[]])[0] for b in bodies], rel=1e-4)
+
+
+def test_lm_order_repeats_and_held_out_texts(spark, ws):
+    rng = random.Random(4)
+    texts = invented(260, 13, 120)
+    held = [i for i in range(260) if zlib.crc32(str(i).encode()) % 5 == 1]
+    taught = [i for i in range(260) if zlib.crc32(str(i).encode()) % 5 > 1]
+    a, b = (max(x, key=lambda i: len(texts[i])) for x in (held, taught))
+    words = texts[b].split()
+    texts[a] = texts[b]
+    c = next(i for i in held if i != a)
+    texts[c] = " ".join(rng.sample(words, len(words)))
+    got = {r.doc_id: r for r in lm_score.score(documents(spark, texts), ws).collect()}
+    assert got[a].base_score == pytest.approx(got[c].base_score) and got[a].score > 0.7 * got[c].score  # order counts, and a known text is expected
+    assert got[a].bits_per_byte < 0.6 * got[c].bits_per_byte
+    rest = [got[i] for i in held if i not in (a, c)]
+    assert sum(r.score for r in rest) > sum(r.base_score for r in rest) - 0.1 * sum(r.n_tokens for r in rest)
 
 
 def test_lm_odd_rows(spark, odd, ws):
