@@ -5,8 +5,9 @@ into segments, and a segment's sign is the XOR of its members' hashes, so a memb
 has changes one segment: the Hamming distance of two sketches, counted in segments or in bits of a parity
 bitmap, is never above the symmetric difference. Similarity bounds that difference by sizes, so sizes fall
 into bands (powers of two, and a band around each power for pairs on both sides of it), each with more
-segments than the difference can touch. By the pigeonhole two similar sets agree on a segment that is not
-empty, and sketches are joined on (band, segment, sign). A set whose members leave no segment to spare also
+segments than the difference can touch. A set offers its first segments that are not empty, one more than the
+difference can touch: by the pigeonhole two similar sets agree on one of the first of the set that needs the shorter
+row of them, and the other offers it too. Sketches are joined on (band, segment, sign). A set whose members leave no segment to spare also
 offers its empty segments.
 
 Candidates are verified on the sets themselves. Not all pairs in a group of near copies are looked at,
@@ -42,7 +43,7 @@ from casewright.llm.components import components
 #: Ids broadcast at most (16 bytes each and the table around them).
 BROADCAST_IDS = 500_000
 #: One key in so many belongs to the first turn; pairs that share several keys are met there, and seldom again.
-FIRST_KEYS = 16
+FIRST_KEYS = 6
 #: Rows of a block of one key's classes that one task compares.
 BLOCK = 4096
 
@@ -139,6 +140,8 @@ def sketches(flat: np.ndarray, n: np.ndarray, sizes: Sizes, seed: int) -> tuple[
         place = mixed((band[r] << 32 | segment).astype(_U), 80)
         key = mixed(np.bitwise_xor.reduceat(sign[some], first) ^ place, 90)
         found = np.bincount(r, minlength=len(n))
+        use = np.arange(len(r)) - np.repeat(starts_of(found)[:-1], found) <= k[r]  # of those that are not empty the first k + 1
+        r, segment, key = r[use], segment[use], key[use]
         cut = np.searchsorted(r, np.arange(len(n) + 1))
         for i in np.flatnonzero(found).tolist():
             keys[i].append(key[cut[i] : cut[i + 1]])
