@@ -37,10 +37,10 @@ def _targets(all_cases: DataFrame) -> DataFrame:
     return all_cases.filter(f"case_id % {TARGET_STEP} = 0")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    view = cases(spark, sf_dir)
-    train = view.filter("split = 'train'")
-    return view, train, _targets(view), retrieval.case_pairs(_targets(view), train)
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Targets, training references, and about how many there are (from the orders' file footers)."""
+    view, n = cases(spark, sf_dir), table(spark, sf_dir, "orders").count()
+    return _targets(view), view.filter("split = 'train'"), (n // TARGET_STEP, n)
 
 
 _PAIRS_SQL = f"""{CASES_SQL},
@@ -64,8 +64,8 @@ _PAIRS_SQL = f"""{CASES_SQL},
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, train, targets, pairs = _pairs(spark, sf_dir)
-    out = retrieval.neighbour_medians(targets, pairs, train)
+    targets, train, sizes = _sides(spark, sf_dir)
+    out = retrieval.neighbour_medians(targets, retrieval.nearest(targets, train, sizes), train)
     hard = N.challenging(F.col("is_grand"), F.col("n_applications"), F.col("n_articles"))
     return out.select("case_id", "split", "test_view", hard.alias("challenging"), "y", "neighbors", "prediction", "fallback_reason")
 
@@ -224,19 +224,11 @@ def _cascade_sql() -> str:
     return ", ".join(out) + f", left_over AS (SELECT * FROM {prior} WHERE active)"
 
 
-def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, _, pairs = _pairs(spark, sf_dir)
-    same = lambda c: F.col(f"t_{c}") == F.col(f"r_{c}")
-    exact = (F.col("shared") == F.col("t_n_articles")) & (F.col("shared") == F.col("r_n_articles"))
-    steps = [("articles", exact), ("country", same("country")), ("region", same("region")), ("formation", same("formation")), ("importance", same("importance")), ("recent", F.col("days") <= 1825)]
-    return ranking.cascade(pairs, ["target_id"], steps, enough=30, always=2)
-
-
 @query(f"""WITH {_PAIRS_SQL}, {_cascade_sql()}
     SELECT target_id, count(*) AS n, min(ref_id) AS first_ref, max(ref_id) AS last_ref, round(quantile_cont(r_y, 0.5), 5) AS median FROM left_over GROUP BY target_id""")
 def reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References left after narrowing by conditions in turn, each kept only with enough support."""
-    return _references(spark, sf_dir).groupBy("target_id").agg(F.count("*").alias("n"), F.min("ref_id").alias("first_ref"), F.max("ref_id").alias("last_ref"), F.round(F.percentile("r_y", F.lit(0.5)), 5).alias("median"))
+    return retrieval.narrowed(*_sides(spark, sf_dir)).groupBy("target_id").agg(F.count("*").alias("n"), F.min("ref_id").alias("first_ref"), F.max("ref_id").alias("last_ref"), F.round(F.percentile("r_y", F.lit(0.5)), 5).alias("median"))
 
 
 @query(f"""WITH {_PAIRS_SQL}, {_cascade_sql()},
@@ -245,7 +237,7 @@ def reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT target_id, ref_id, r_y AS amount, row_number() OVER (PARTITION BY target_id ORDER BY overall) AS rank FROM u WHERE turn <= 8""")
 def balanced_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight references a target, half positive and half zero where there are enough."""
-    out = ranking.balanced(_references(spark, sf_dir), ["target_id"], F.col("r_y") > 0, [F.desc("score"), F.asc("ref_id")], 8)
+    out = ranking.balanced(retrieval.narrowed(*_sides(spark, sf_dir), per_class=8), ["target_id"], F.col("r_y") > 0, [F.desc("score"), F.asc("ref_id")], 8)
     return out.select("target_id", "ref_id", F.col("r_y").alias("amount"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -303,12 +295,11 @@ def encoded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT target_id, count(*) AS neighbors, round(quantile_cont(y, 0.5), 5) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance, 9), ref_id) AS rank FROM d) q WHERE rank <= 20 GROUP BY target_id""")
 def tabular_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euclidean neighbours over scaled features."""
-    view = cases(spark, sf_dir)
+    targets, train, sizes = _sides(spark, sf_dir)
     names = ["n_applicants", "n_articles"]
-    scaled = encode.standardise(view, encode.fit_numeric(view.filter("split = 'train'"), names), names)
-    pairs = retrieval.overlap_join(_targets(view), view.filter("split = 'train'"))
-    side = lambda p: scaled.select(F.col("case_id").alias(f"{p}id"), F.col("y").alias(f"{p}y"), *[F.col(f"z_{c}").alias(f"{p}{c}") for c in names])
-    scored = pairs.join(side("t_"), F.col("target_id") == F.col("t_id")).join(side("r_"), F.col("ref_id") == F.col("r_id")).withColumn("distance", retrieval.euclidean(names))
+    stats = encode.fit_numeric(train, names)
+    scaled = [encode.standardise(side, stats, names) for side in (targets, train)]
+    scored = retrieval.nearest_by_features(*scaled, [f"z_{c}" for c in names], sizes)
     near = ranking.top_k(scored, ["target_id"], [F.asc(F.round("distance", 9)), F.asc("ref_id")], 20)
     return near.groupBy("target_id").agg(F.count("*").alias("neighbors"), F.round(F.percentile("r_y", F.lit(0.5)), 5).alias("prediction"))
 
