@@ -1,7 +1,10 @@
-"""A SentencePiece BPE model compiled to arrays, and rank-synchronous merging over ragged arrays of symbols.
+"""A SentencePiece model compiled to arrays: its normaliser, its pieces, and rank-synchronous merging over ragged
+arrays of symbols.
 
-Used by the token counter (whose method it is) and, to find which pieces may stand side by side, by
-the transducer.
+Merging is the token counter's method; the transducer uses the normaliser, the pieces and, for a BPE model, which
+pieces merging leaves side by side. A very long pre-token is worked on in windows that overlap: two windows are
+joined where both have a boundary and merging leaves the pieces on either side of it apart, so that the whole row is
+merging's own result (a row of pieces is exactly if all its neighbours are).
 """
 
 from __future__ import annotations
@@ -17,12 +20,17 @@ from casewright.llm.common import ragged_take, starts_of, sum_by_row
 MARK = "▁"
 #: No such pair.
 NEVER = np.int64(2**40)
+#: Bits of the number of pairs of pieces remembered.
+SEAM_BITS = 21
+#: Letters from which on a pre-token is worked on in windows, and a window's.
+LONG, WINDOW = 2048, 512
+_SPACES = re.compile(" +")
 
 
 class PieceModel:
-    """Pieces, their ranks, and the pairs of symbols that concatenate to a piece.
+    """Pieces, their ranks or scores, and the pairs of symbols that concatenate to a piece.
 
-    Symbols are piece ids; characters that occur in pieces without being one get ids from ``n`` on, and
+    ``unigram`` models have scores instead of ranks and cannot be merged. Symbols are piece ids; characters that occur in pieces without being one get ids from ``n`` on, and
     all other characters share the id ``unknown``. ``rank`` orders merges: the highest score first.
     """
 
@@ -30,9 +38,12 @@ class PieceModel:
         import sentencepiece
 
         self.processor = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        spec = _normaliser(sp.serialized_model_proto())
-        if spec["name"] != b"identity" or spec["remove_extra"] or not spec["prefix"] or spec["charsmap"]:
-            raise ValueError("only models with the identity normaliser, a dummy prefix and all white space kept are compiled")
+        spec = _settings(sp.serialized_model_proto())
+        if spec["kind"] not in (1, 2) or not spec["escape"]:
+            raise ValueError("only unigram and BPE models that write spaces as marks are compiled")
+        self.unigram, self.prefix, self.squeeze = spec["kind"] == 1, " " if spec["prefix"] else "", spec["remove_extra"]
+        self.charsmap = _charsmap(spec["charsmap"])
+        self.longest_rule = max(map(len, self.charsmap), default=0)
         self.n = n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes_of = {int(p[3:-1], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
@@ -46,8 +57,17 @@ class PieceModel:
             self.id_of[c] = n + k
         self.unknown = max(n, *self.id_of.values()) + 1
         self.width = self.unknown + 1
-        order = sorted((i for i in plain if len(self.pieces[i]) > 1), key=lambda i: (-sp.get_score(i), i))
+        self.letters = {c: i for c, i in self.id_of.items() if len(c) == 1}
+        self.letters[" "] = self.letters[MARK]
+        self.piece_len = np.ones(self.width, np.int64)
+        self.piece_len[plain] = [len(self.pieces[i]) for i in plain]
+        scores = np.array([sp.get_score(i) for i in plain], np.float32)
+        self.score = np.full(self.width, scores.min() - 10, np.float32)  # the library's penalty for a letter that is no piece
+        self.score[plain] = scores
         self.rank = np.full(self.width, NEVER)
+        if self.unigram:
+            return
+        order = sorted((i for i in plain if len(self.pieces[i]) > 1), key=lambda i: (-sp.get_score(i), i))
         self.rank[order] = np.arange(len(order))
         pairs = {}
         for i in order:
@@ -57,8 +77,100 @@ class PieceModel:
                 if left is not None and right is not None:
                     pairs[left * self.width + right] = i
         self._table(pairs)
-        self.letters = {c: i for c, i in self.id_of.items() if len(c) == 1}
-        self.letters[" "] = self.letters[MARK]
+        self._undone()
+
+    def normalised(self, text: str) -> str:
+        """The text as the model's normaliser leaves it: rules for the longest stretch first, white space, dummy prefix."""
+        if self.charsmap:
+            out, i, rules = [], 0, self.charsmap
+            while i < len(text):
+                for size in range(min(self.longest_rule, len(text) - i), 0, -1):
+                    to = rules.get(text[i : i + size])
+                    if to is not None:
+                        out.append(to)
+                        i += size
+                        break
+                else:
+                    out.append(text[i])
+                    i += 1
+            text = "".join(out)
+        if self.squeeze:
+            text = _SPACES.sub(" ", text).strip(" ")
+        if MARK in text:
+            text = text.replace(MARK, " ")  # the library takes it for a space too
+        return self.prefix + text if text else ""
+
+    def _undone(self) -> None:
+        """The two halves that each piece was last merged from, and whether any text is merged to it."""
+        width, ids = self.width, self.id_of
+        self.order = np.where(self.rank < NEVER, self.rank + width, np.arange(width))
+        self.left, self.right, self.made = np.arange(width), np.arange(width), np.zeros(width, bool)
+        self.made[list(self.letters.values())] = True
+        self.made[self.unknown] = True
+        order, by_rank = self.rank.tolist(), np.argsort(self.rank, kind="stable")
+        for i in by_rank[: int((self.rank < NEVER).sum())].tolist():
+            parts = list(self.pieces[i])
+            while len(parts) > 2:
+                ranks = [order[ids[a + b]] if a + b in ids else NEVER for a, b in zip(parts, parts[1:], strict=False)]
+                k = min(range(len(ranks)), key=ranks.__getitem__)
+                if ranks[k] == NEVER:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 2:  # else no text is ever merged to this piece
+                self.left[i], self.right[i] = ids[parts[0]], ids[parts[1]]
+                self.made[i] = True
+        self.seams, self.seam_good = np.full(1 << SEAM_BITS, -1, np.int64), np.zeros(1 << SEAM_BITS, bool)
+
+    def apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether merging ever leaves the two pieces side by side; answers are kept in a direct-mapped table."""
+        key = first * self.width + second
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
+        good = self.seam_good[slot]
+        new = np.flatnonzero(self.seams[slot] != key)
+        if len(new):
+            distinct, inverse = np.unique(key[new], return_inverse=True)
+            answer = self._apart(distinct // self.width, distinct % self.width)
+            good[new] = answer = answer[inverse]
+            slot, place = np.unique(slot[new], return_index=True)
+            self.seams[slot], self.seam_good[slot] = key[new][place], answer[place]
+        return good
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good, open_ = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), 2 * NEVER)
+        while len(open_):
+            made = self.pair(a, b)
+            bad = (made >= 0) & (self.order[made] < limit)
+            good[open_[bad]] = False
+            a_last = self.order[a] > self.order[b]
+            a_in, b_in = self.right[a], self.left[b]
+            a_whole, b_whole = a_in == a, b_in == b
+            undo_a = (a_last & ~a_whole) | (~a_last & b_whole & ~a_whole)
+            undo_b = ~undo_a & ~b_whole
+            limit = np.where(undo_a, self.order[a], self.order[b] + 1)
+            a, b = np.where(undo_a, a_in, a), np.where(undo_b, b_in, b)
+            stay = ~bad & (undo_a | undo_b)
+            a, b, limit, open_ = a[stay], b[stay], limit[stay], open_[stay]
+        return good
+
+    def joined(self, windows: list[tuple[int, np.ndarray]]) -> np.ndarray | None:
+        """The symbols of a long pre-token from those of its windows (start, symbols); None where two cannot be joined."""
+        out, until = [], 0
+        held, ends = windows[0][1], np.cumsum(self.piece_len[windows[0][1]])
+        for start, symbols in windows[1:]:
+            begin = start + np.cumsum(self.piece_len[symbols]) - self.piece_len[symbols]
+            _, a, b = np.intersect1d(ends, begin, assume_unique=True, return_indices=True)
+            ok = (ends[a] > until) & (ends[a] > start)
+            a, b = a[ok], b[ok]
+            fits = np.flatnonzero(self.apart(held[a], symbols[b])) if len(a) else a
+            if not len(fits):
+                return None
+            k = fits[len(fits) // 2]
+            low = np.searchsorted(ends, until, side="right")
+            out.append(held[low : a[k] + 1])
+            until, held, ends = int(ends[a[k]]), symbols, begin + self.piece_len[symbols]
+        out.append(held[np.searchsorted(ends, until, side="right") :])
+        return np.concatenate(out)
 
     def _table(self, pairs: dict[int, int]) -> None:
         """An open-addressed table: a look-up is a few gathers for a whole array of pairs."""
@@ -109,11 +221,42 @@ class PieceModel:
         """Tokens of each word: surviving pieces, and for a surviving letter that is no piece its bytes."""
         flat, size, lengths = self.symbols(words)
         lost = sum_by_row(np.where(flat == self.unknown, size - 1, 0), lengths)
-        rest, n = self.merge(flat, lengths)
-        extra = np.zeros(self.width, np.int64)
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            rest, n = self.merge(flat, lengths)
+            return n + lost + sum_by_row(self._extra()[rest], n)
+        at, out = starts_of(lengths), np.zeros(len(words), np.int64)
+        short = np.flatnonzero(lengths <= LONG)
+        rest, n = self.merge(ragged_take(flat, at, short)[0], lengths[short])
+        out[short] = n + sum_by_row(self._extra()[rest], n)
+        for i in long:
+            whole = flat[at[i] : at[i + 1]]
+            rest = self.in_windows(words[i], lambda parts, own=whole: self._merged(own, parts))
+            out[i] = len(rest) + self._extra()[rest].sum()
+        return out + lost
+
+    def _extra(self) -> np.ndarray:
+        """Tokens beyond the first of a letter that is no piece but occurs in pieces."""
+        out = np.zeros(self.width, np.int64)
         for c, i in self.letters.items():
-            extra[i] = len(c.encode()) - 1 if i >= self.n else 0
-        return n + lost + sum_by_row(extra[rest], n)
+            out[i] = len(c.encode()) - 1 if i >= self.n else 0
+        return out
+
+    def _merged(self, flat: np.ndarray, parts: list[slice]) -> list[np.ndarray]:
+        lengths = np.array([p.stop - p.start for p in parts])
+        rest, n = self.merge(np.concatenate([flat[p] for p in parts]), lengths)
+        return np.split(rest, np.cumsum(n)[:-1])
+
+    def in_windows(self, word: str, work) -> np.ndarray:
+        """The symbols of a long word: ``work`` gives those of slices of it; larger windows where two cannot be joined."""
+        size = WINDOW
+        while True:
+            starts = range(0, max(1, len(word) - size // 4), size - size // 4)
+            parts = [slice(s, min(len(word), s + size)) for s in starts]
+            out = self.joined(list(zip(starts, work(parts), strict=True)))
+            if out is not None:
+                return out
+            size *= 8
 
     def merge(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge each row of symbols to the end: the surviving symbols and the rows' new lengths.
@@ -197,8 +340,8 @@ class PieceModel:
         return done_flat, done_rows
 
 
-def _normaliser(proto: bytes) -> dict:
-    """The normaliser's settings, read from the model file's protocol buffer (field 3 of the model)."""
+def _settings(proto: bytes) -> dict:
+    """The model's kind and its normaliser's settings, read from the model file's protocol buffer (its fields 2 and 3)."""
 
     def fields(b: bytes):
         i = 0
@@ -227,11 +370,35 @@ def _normaliser(proto: bytes) -> dict:
             if c < 128:
                 return value, i
 
-    spec = {1: b"", 2: b"", 3: 1, 4: 1, 5: 1}
+    spec, kind = {1: b"", 2: b"", 3: 1, 4: 1, 5: 1}, 1
     for number, value in fields(proto):
         if number == 3:
             spec |= dict(fields(value))
-    return {"name": spec[1], "charsmap": spec[2], "prefix": bool(spec[3]), "remove_extra": bool(spec[4])}
+        elif number == 2:
+            kind = dict(fields(value)).get(3, 1)
+    return {"kind": kind, "charsmap": spec[2], "prefix": bool(spec[3]), "remove_extra": bool(spec[4]), "escape": bool(spec[5])}
+
+
+def _charsmap(blob: bytes) -> dict[str, str]:
+    """The normaliser's rules: a double-array trie of UTF-8 keys whose values are places in a table of texts ended by zero."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], np.uint32).tolist(), blob[4 + size :]
+    base = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    out, open_ = {}, [(base(units[0]), b"")]
+    while open_:
+        at, key = open_.pop()
+        for c in range(1, 256):
+            unit = units[at ^ c] if at ^ c < len(units) else 0
+            if unit & 0x800000FF != c:
+                continue
+            to, longer = (at ^ c) ^ base(unit), key + bytes([c])
+            if unit >> 8 & 1:
+                place = units[to] & 0x7FFFFFFF
+                out[longer.decode()] = texts[place : texts.index(b"\0", place)].decode()
+            open_.append((to, longer))
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -244,17 +411,13 @@ _RUNS = re.compile(" +[^ ]*|[^ ]+")
 
 
 def pre_tokens(text: str) -> list[str]:
-    """Stretches that no piece goes over: the text after the dummy prefix, cut before each word's first space.
+    """Stretches of a normalised text that no piece goes over: cut before each word's first space.
 
     The leading space of a stretch stays on it; an empty text has none.
     """
-    if not text:
-        return []
-    if MARK in text:
-        text = text.replace(MARK, " ")  # the library takes it for a space too
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return [" " + w for w in text.split(" ")]
-    return _RUNS.findall(" " + text)
+    if "  " not in text and text[:1] == " " and text[-1] != " ":
+        return [" " + w for w in text[1:].split(" ")]
+    return _RUNS.findall(text)
 
 
 class WordCache:

@@ -1,18 +1,19 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Compiled from a model: a normaliser (dummy prefix, space to its mark), an automaton over letters that
-emits pieces, and byte fallback for letters that are no piece. A state of the composition with an input
-is a place in it and the piece that ended there. An arc emits a piece and weighs 1, or infinity where
-BPE merging would never leave the two pieces side by side. A sequence of pieces is BPE's own result
-exactly if each neighbouring pair is, so the shortest path in the tropical semiring has finite weight
-on that result alone, and each place is reached at finite weight by one piece.
+Compiled from a model: its normaliser (rules of the longest stretch first, white space, dummy prefix, space to its
+mark), an automaton over letters that emits pieces, and byte fallback for letters that are no piece. A state of the
+composition with an input is a place in it and the piece that ended there; the path of least weight in the tropical
+semiring is kept place by place. An arc of a unigram model weighs the piece's minus log probability. An arc of a BPE
+model weighs one, or infinity where merging would never leave the two pieces side by side: a sequence of pieces is
+merging's own result exactly if each neighbouring pair is, so that result alone has finite weight.
 
-Which pairs may stand together is worked out by undoing the pieces' last merges at the seam. Words of a
-batch are composed in step, place by place, as arrays. Decoding reads pieces' bytes back.
+Which pairs may stand together is worked out by undoing the pieces' last merges at the seam. Words of a batch are
+composed in step, place by place, as arrays; a word of more than ``LONG`` letters in windows that are joined where
+merging leaves a seam (BPE), or place by place (unigram). Decoding reads pieces' bytes back.
 
 Defined results: a null text counts as empty and has no pieces; ids are passed through, nulls and
-repeated rows included; an empty table gives no rows; other columns stay out of the result. The mark
-itself in a text is read back as a space, as the library does.
+repeated rows included; an empty table gives no rows; other columns stay out of the result. What is read back is
+the normalised text; the mark itself in a text is read back as a space, as the library does.
 """
 
 from __future__ import annotations
@@ -25,44 +26,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.bpe import MARK, NEVER, PieceModel, WordCache, piece_model, pre_tokens
+from casewright.llm.bpe import LONG, MARK, PieceModel, WordCache, piece_model, pre_tokens
 from casewright.llm.common import bounded_batches, numbered, portions, ragged_take, starts_of, sum_by_row
 
 
-#: Bits of the number of pairs of pieces remembered.
-SEAM_BITS = 21
-
-
 class Transducer:
     """The automaton of pieces, their splits, and decoding tables."""
 
     def __init__(self, model: PieceModel):
-        self.model, width = model, model.width
-        self.order = np.where(model.rank < NEVER, model.rank + width, np.arange(width))
-        self.left, self.right = np.arange(width), np.arange(width)
-        out = np.zeros(width, bool)
-        out[[i for i in model.letters.values()]] = True
-        out[model.unknown] = True
-        order, by_rank = model.rank.tolist(), np.argsort(model.rank, kind="stable")
-        ids = model.id_of
-        for i in by_rank[: int((model.rank < NEVER).sum())].tolist():
-            parts = list(model.pieces[i])
-            while len(parts) > 2:
-                ranks = [order[ids[a + b]] if a + b in ids else NEVER for a, b in zip(parts, parts[1:], strict=False)]
-                k = min(range(len(ranks)), key=ranks.__getitem__)
-                if ranks[k] == NEVER:
-                    break
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            if len(parts) == 2:  # else no text is ever merged to this piece
-                self.left[i], self.right[i] = ids[parts[0]], ids[parts[1]]
-                out[i] = True
-        self._automaton(out)
+        self.model = model
+        self._automaton(np.ones(model.width, bool) if model.unigram else model.made)
+        # weights of arcs: a unigram model's minus log probabilities; each piece of a BPE model weighs one
+        self.weight = -model.score if model.unigram else np.ones(model.width, np.float32)
         text = [MARK if i >= model.n else p for i, p in enumerate(model.pieces)]
         raw = [p.replace(MARK, " ").encode() for p in text]
         for value, i in model.bytes_of.items():
             raw[i] = bytes([value])
         self.raw, self.raw_starts = np.frombuffer(b"".join(raw), np.uint8), starts_of(np.array([len(r) for r in raw]))
-        self.seams, self.seam_good = np.full(1 << SEAM_BITS, -1, np.int64), np.zeros(1 << SEAM_BITS, bool)
         self.bytes_of = np.array([model.bytes_of[b] for b in range(256)])
 
     def _automaton(self, out: np.ndarray) -> None:
@@ -87,40 +67,32 @@ class Transducer:
         self.step._table(steps)
         self.longest = max(map(len, states))
 
-    def apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Whether merging ever leaves the two pieces side by side; answers are kept in a direct-mapped table."""
-        key = first * self.model.width + second
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
-        good = self.seam_good[slot]
-        new = np.flatnonzero(self.seams[slot] != key)
-        if len(new):
-            distinct, inverse = np.unique(key[new], return_inverse=True)
-            answer = self._apart(distinct // self.model.width, distinct % self.model.width)
-            good[new] = answer = answer[inverse]
-            slot, place = np.unique(slot[new], return_index=True)
-            self.seams[slot], self.seam_good[slot] = key[new][place], answer[place]
-        return good
-
-    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        good, open_ = np.ones(len(a), bool), np.arange(len(a))
-        limit = np.full(len(a), 2 * NEVER)
-        while len(open_):
-            made = self.model.pair(a, b)
-            bad = (made >= 0) & (self.order[made] < limit)
-            good[open_[bad]] = False
-            a_last = self.order[a] > self.order[b]
-            a_in, b_in = self.right[a], self.left[b]
-            a_whole, b_whole = a_in == a, b_in == b
-            undo_a = (a_last & ~a_whole) | (~a_last & b_whole & ~a_whole)
-            undo_b = ~undo_a & ~b_whole
-            limit = np.where(undo_a, self.order[a], self.order[b] + 1)
-            a, b = np.where(undo_a, a_in, a), np.where(undo_b, b_in, b)
-            stay = ~bad & (undo_a | undo_b)
-            a, b, limit, open_ = a[stay], b[stay], limit[stay], open_[stay]
-        return good
-
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The pieces of each pre-token."""
+        out = self._paths([w for w in words if len(w) <= LONG])
+        long = [w for w in words if len(w) > LONG]
+        if long:
+            short = iter(out)
+            out = [self._long(w) if len(w) > LONG else next(short) for w in words]
+        return [self._spelled(w, p) for w, p in zip(words, out, strict=True)]
+
+    def _long(self, word: str) -> np.ndarray:
+        if self.model.unigram:
+            return self._one_by_one(word)
+        return self.model.in_windows(word, lambda parts: [p.astype(np.int64) for p in self._paths([word[s] for s in parts])])
+
+    def _spelled(self, word: str, pieces: np.ndarray) -> np.ndarray:
+        """Letters that are no piece as their bytes."""
+        lone = np.flatnonzero(pieces >= self.model.n)
+        if not len(lone):
+            return pieces.astype(np.int32)
+        ends, out, last = np.cumsum(self.model.piece_len[pieces]), [], 0
+        for i in lone.tolist():
+            out += [pieces[last:i], self.bytes_of[list(word[ends[i] - 1].encode("utf-8", "surrogatepass"))]]
+            last = i + 1
+        return np.concatenate([*out, pieces[last:]]).astype(np.int32)
+
+    def _paths(self, words: list[str]) -> list[np.ndarray]:
         flat, _, lengths = self.model.symbols(words)
         starts, out = starts_of(lengths), [None] * len(words)
         order = np.argsort(lengths, kind="stable")
@@ -134,6 +106,25 @@ class Transducer:
             self._together(order[low:high], flat, starts, words, out)
         return out
 
+    def _one_by_one(self, word: str) -> np.ndarray:
+        """The shortest path through one long pre-token of a unigram model, place by place."""
+        letters, _, _ = self.model.symbols([word])
+        n, ids, weight = len(letters), self.model.id_of, self.weight.tolist()
+        word = word.replace(" ", MARK)
+        cost, piece, size = [0.0] + [np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            for k in range(1, min(self.longest, n - i) + 1):
+                arc = ids.get(word[i : i + k], -1)
+                if arc < 0 or arc >= self.model.n:
+                    arc = int(letters[i]) if k == 1 else -1
+                if arc >= 0 and cost[i] + weight[arc] < cost[i + k]:
+                    cost[i + k], piece[i + k], size[i + k] = cost[i] + weight[arc], arc, k
+        out = []
+        while n:
+            out.append(piece[n])
+            n -= size[n]
+        return np.array(out[::-1])
+
     def _together(self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: list[str], out: list) -> None:
         n = (starts[1:] - starts[:-1])[rows]
         wide = int(n.max())
@@ -156,24 +147,24 @@ class Transducer:
             ok = state >= 0
             row, col, state = row[ok], col[ok], state[ok]
             arcs[k, row, col] = self.emits[state]
-        # relax: at each place, the arc of finite weight
+        # relax: each place keeps the arc of least weight in all (a place of a BPE model has one of finite weight)
         last = np.full((len(rows), wide + 1), -1, np.int64)
         size = np.zeros((len(rows), wide + 1), np.int64)
+        cost = np.full((len(rows), wide + 1), np.inf)
+        cost[:, 0] = 0
         for j in range(1, wide + 1):
             todo = np.flatnonzero(n >= j)
             for k in range(min(reach, j), 0, -1):
                 piece = arcs[k - 1, todo, j - k].astype(np.int64)
-                can = np.flatnonzero((piece >= 0) & ((last[todo, j - k] >= 0) if j > k else True))
-                if not len(can):
-                    continue
+                can = np.flatnonzero(piece >= 0)
                 at, piece = todo[can], piece[can]
-                if j > k:
-                    fine = self.apart(last[at, j - k], piece)
-                    at, piece, can = at[fine], piece[fine], can[fine]
-                last[at, j], size[at, j] = piece, k
-                todo = np.delete(todo, can)
-                if not len(todo):
-                    break
+                total = cost[at, j - k] + self.weight[piece]
+                less = np.flatnonzero(total < cost[at, j])
+                at, piece, total = at[less], piece[less], total[less]
+                if j > k and len(at) and not self.model.unigram:  # pieces that merging does not leave side by side: infinite
+                    fine = self.model.apart(last[at, j - k], piece)
+                    at, piece, total = at[fine], piece[fine], total[fine]
+                last[at, j], size[at, j], cost[at, j] = piece, k, total
         # back along the path
         at, place = np.arange(len(rows)), n.copy()
         steps = []
@@ -189,25 +180,16 @@ class Transducer:
         what = np.concatenate([s[1] for s in steps])
         where = np.concatenate([s[2] for s in steps])
         turn = np.lexsort((where, who))
-        who, what, where = who[turn], what[turn], where[turn]
+        who, what = who[turn], what[turn]
         cut = np.searchsorted(who, np.arange(len(rows) + 1))
-        fallback = what >= self.model.n
-        bytes_in = np.zeros(len(rows), bool)
-        bytes_in[who[fallback]] = True
         for i, r in enumerate(rows.tolist()):
-            pieces = what[cut[i] : cut[i + 1]]
-            if bytes_in[i]:
-                word, parts = words[r], []
-                for p, w in zip(pieces.tolist(), where[cut[i] : cut[i + 1]].tolist(), strict=True):
-                    parts += [p] if p < self.model.n else self.bytes_of[list(word[w].encode("utf-8", "surrogatepass"))].tolist()
-                pieces = np.array(parts)
-            out[r] = pieces.astype(np.int32)
+            out[r] = what[cut[i] : cut[i + 1]]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes: the pieces' own, without the dummy prefix."""
         flat, sizes = ragged_take(self.raw, self.raw_starts, ids)
-        whole, at = flat.tobytes(), starts_of(sum_by_row(sizes, lengths))
-        return [whole[a + (whole[a : a + 1] == b" ") : b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
+        whole, at, first = flat.tobytes(), starts_of(sum_by_row(sizes, lengths)), self.model.prefix.encode()
+        return [whole[a + (first != b"" and whole[a : a + 1] == first) : b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -224,7 +206,7 @@ def encode_texts(texts: list[str], model_path: str) -> tuple[np.ndarray, np.ndar
     machine, cache = transducer(model_path), _caches.setdefault(model_path, WordCache(500_000))
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for part in portions(texts):
-        cut = [pre_tokens(t) for t in texts[part]]
+        cut = [pre_tokens(machine.model.normalised(t)) for t in texts[part]]
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         codes, words = numbered([w for row in cut for w in row])
         pieces = cache.look_up(words, machine.encode_words)
@@ -247,7 +229,9 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 some = texts[part]
                 flat, n = encode_texts(some, model_path)
                 back = transducer(model_path).decode(flat, n)
-                same = [b == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for b, t in zip(back, some, strict=True)]
+                model = piece_model(model_path)
+                plain = [model.normalised(t)[len(model.prefix) :] for t in some]
+                same = [b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, plain, strict=True)]
                 at = starts_of(n)
                 yield pd.DataFrame({"pieces": [flat[a:b] for a, b in zip(at, at[1:], strict=False)], "n_pieces": n, "round_trip": same})
 

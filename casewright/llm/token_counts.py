@@ -25,10 +25,13 @@ _caches: dict[str, WordCache] = {}
 
 def count_tokens(texts: list[str], model_path: str) -> np.ndarray:
     """Tokens of each text as the library for the model gives them, without begin or end tokens."""
-    model, cache = piece_model(model_path), _caches.setdefault(model_path, WordCache(800_000))
+    model = piece_model(model_path)
+    if model.unigram:
+        raise ValueError("a unigram model has no merges to count by")
+    cache = _caches.setdefault(model_path, WordCache(800_000))
     out = []
     for part in portions(texts):
-        cut = [pre_tokens(t) for t in texts[part]]
+        cut = [pre_tokens(model.normalised(t)) for t in texts[part]]
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         codes, words = numbered([w for row in cut for w in row])
         each = np.array(cache.look_up(words, lambda w: model.counts(w).tolist()), np.int64)

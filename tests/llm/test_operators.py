@@ -95,6 +95,76 @@ def test_token_and_codec_odd_rows(spark, odd):
     assert token_counts.token_counts(odd.limit(0), MODEL).count() == 0 and piece_codec.encode(odd.limit(0), MODEL).count() == 0
 
 
+def test_long_stretches():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(30_000)), "a" * 9_000, "日本語テキスト" * 1_500, "ab é" * 20 + "return" * 2_000]
+    want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(texts, num_threads=1)
+    assert token_counts.count_tokens(texts, MODEL).tolist() == [len(w) for w in want]
+    flat, n = piece_codec.encode_texts(texts, MODEL)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(n)[:-1])] == want
+
+
+def field(number, value):
+    """A field of a protocol buffer: a number, or bytes with their length."""
+    varint = lambda x: bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(path, charsmap, squeeze):
+    """A small unigram model with byte fallback, written by hand."""
+    rng, kinds = random.Random(3), [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    words = {"▁", "▁a", "ab", "abc", "▁the", "he", "r", "é", "ein", "▁e", *"abcdefghinrt", *("".join(rng.choice("abcdehnrt") for _ in range(rng.randint(2, 4))) for _ in range(120))}
+    kinds += [(w, -rng.uniform(2, 12), 1) for w in sorted(words)]
+    pieces = b"".join(field(1, field(1, p.encode()) + b"\x15" + np.float32(score).tobytes() + field(3, kind)) for p, score, kind in kinds)
+    path.write_bytes(pieces + field(2, field(3, 1) + field(35, 1)) + field(3, (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(squeeze)) + field(5, 1)))
+    return str(path)
+
+
+@pytest.mark.parametrize("rules", [False, True])
+def test_unigram_model_and_normaliser(tmp_path, rules):
+    charsmap = b""
+    if rules:
+        from casewright.llm.bpe import _charsmap
+
+        tsv = tmp_path / "rules.tsv"
+        tsv.write_text("41\t61\n42\t62\nC4\t61 65\n65 301\tE9\n9\t20\nAD\t\n")
+        proto = sentencepiece.SentencePieceNormalizer(rule_tsv=str(tsv)).serialized_model_proto()
+        at = {}
+        for number, value in plain_fields(proto):
+            at[number] = value
+        charsmap = dict(plain_fields(at[3]))[2]
+        assert _charsmap(charsmap) == {"A": "a", "B": "b", "Ä": "ae", "e\u0301": "é", "\t": " ", "\xad": ""}
+    path = unigram_model(tmp_path / "u.model", charsmap, rules)
+    texts = [*TEXTS, "ABBA Ä e\u0301 x\t\ty\xad", "abcabcthehereinabc" * 200]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    flat, n = piece_codec.encode_texts(texts, path)
+    for text, got, want in zip(texts, np.split(flat, np.cumsum(n)[:-1]), library.encode(texts, num_threads=1), strict=True):
+        if got.tolist() != want:  # paths of equal weight but for rounding
+            assert sum(map(library.get_score, got.tolist())) == pytest.approx(sum(map(library.get_score, want)), rel=1e-5), text[:50]
+    with pytest.raises(ValueError, match="merges"):
+        token_counts.count_tokens(["a"], path)
+
+
+def plain_fields(data):
+    """Number and bytes of each field with a length."""
+    i = 0
+    while i < len(data):
+        key, i = read_varint(data, i)
+        size, i = read_varint(data, i) if key & 7 in (0, 2) else ({1: 8, 5: 4}[key & 7], i)
+        if key & 7 == 2:
+            yield key >> 3, data[i : i + size]
+        i += 0 if key & 7 == 0 else size
+
+
+def read_varint(data, i):
+    value = shift = 0
+    while True:
+        value |= (data[i] & 127) << shift
+        shift, i = shift + 7, i + 1
+        if data[i - 1] < 128:
+            return value, i
+
+
 # 3
 
 
