@@ -63,7 +63,7 @@ class Workspace:
         before = conf.get(CLEAN_UP, None)
         conf.set(CLEAN_UP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 conf.unset(CLEAN_UP)
@@ -71,10 +71,10 @@ class Workspace:
                 conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Delete the folder, on whatever file system it is."""
+    def drop(self, name: str | None = None) -> None:
+        """Delete the folder, or one table that is not read any more, on whatever file system it is."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
