@@ -101,7 +101,7 @@ def in_fold(doc_id: str | Column, remainder: int, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")) % folds == remainder
 
 
-def portions(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
+def portions(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
     """Slices of a batch holding about ``most`` bytes each (one text at least), to bound what vectorised code holds."""
     start = total = 0
     for i, t in enumerate(texts):
