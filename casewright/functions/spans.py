@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from casewright.functions.normalize import ORDINALS
 
-#: Currency signs and words, with the code that they stand for.
-CURRENCIES = {"€": "EUR", "eur": "EUR", "euro": "EUR", "euros": "EUR", "$": "USD", "usd": "USD", "dollars": "USD", "£": "GBP", "gbp": "GBP", "pounds": "GBP"}
-_SIGN = "|".join(sorted((re.escape(k) for k in CURRENCIES), key=len, reverse=True))
-_NUMBER = r"\d{1,3}(?:[,  ]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-_MENTION = re.compile(rf"(?:(?P<before>{_SIGN})\s?(?P<a>{_NUMBER}))|(?:(?P<b>{_NUMBER})\s?(?P<after>{_SIGN})(?!\w))", re.I)
+#: The currency codes known.
+CURRENCIES = ("EUR", "USD", "GBP", "AZN", "RUB", "TRY", "UAH", "PLN", "HUF", "RON", "CZK", "SEK", "NOK", "DKK", "CHF", "BGN", "RSD", "HRK", "BAM", "MKD", "ALL", "AMD", "GEL", "MDL", "ISK")
+_CODE = rf"(?:euros?|{'|'.join(CURRENCIES)})"
+_NUMBER = r"[0-9]{1,3}(?:[,\s][0-9]{3})*(?:\.\d+)?|[0-9]+(?:\.\d+)?"
+_BEFORE = re.compile(rf"\b(?P<code>{_CODE})\s*(?P<number>{_NUMBER})\b", re.I)
+_AFTER = re.compile(rf"\b(?P<number>{_NUMBER})\s*(?P<code>{_CODE})\b", re.I)
 _PRECEDENT = re.compile(r"(?P<name>[A-Z][\w'’.-]*(?:\s+(?:and\s+Others|[A-Z][\w'’.-]*))*\s+v\.\s+[A-Z]\w*(?:\s+[A-Z]\w*)*)(?:\s+\[GC\])?,\s+no\.\s+(?P<number>\d{1,6}/\d{2,4})(?:,\s+(?P<date>\d{1,2}\s+\w+\s+\d{4}))?")
 _COUNT = re.compile(r"\b(?:(?P<n>\d{1,4})|(?P<word>two|three|four|five|six|seven|eight|nine|ten))\s+applicants\b", re.I)
 _ONE = re.compile(rf"\b(?:{'|'.join(ORDINALS)})\s+applicant\b", re.I)
@@ -23,12 +24,17 @@ _WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, float]]:
-    """Start, end, currency and amount of each mention, in order."""
-    out = []
-    for m in _MENTION.finditer(text or ""):
-        number = re.sub(r"[,  ]", "", m["a"] or m["b"])
-        out.append((m.start(), m.end(), CURRENCIES[(m["before"] or m["after"]).lower()], float(number)))
-    return out
+    """Start, end, currency and amount of each mention, code before or after the number, by start; a span counts once."""
+    found: dict[tuple[int, int], tuple[int, int, str, float]] = {}
+    for pattern in (_BEFORE, _AFTER):
+        for m in pattern.finditer(text or ""):
+            number = m["number"].replace(" ", "").replace(",", "")
+            code = "EUR" if m["code"].lower().startswith("euro") else m["code"].upper()
+            try:
+                found.setdefault(m.span(), (*m.span(), code, float(number)))
+            except ValueError:  # other white space inside
+                continue
+    return sorted(found.values(), key=lambda x: x[0])
 
 
 def currency_mentions(text: Column) -> Column:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from casewright.functions.normalize import strip
 
-#: Fixed words of the redaction rules.
-CLAIM_WORDS = ("claim", "claimed", "award", "awarded", "damage", "damages", "compensation", "costs", "expenses", "satisfaction")
+#: Fixed values of the redaction rules: what hides a line by itself, in the strict and in the claim-blind view.
+STRICT_TERMS = ("article 41", "just satisfaction", "non-pecuniary damage", "non pecuniary damage", "pecuniary damage", "costs and expenses", "for these reasons", "operative provision")
+CLAIM_BLIND_TERMS = (
+    "article 41", "just satisfaction", "for these reasons", "operative provision", "operative clauses", "costs and expenses", "finding of a violation constitutes sufficient satisfaction",
+    "constitutes sufficient just satisfaction", "sufficient just satisfaction", "makes no award", "made no award", "no award is made", "no separate award", "dismisses the claim", "dismissed the claim",
+    "rejects the claim", "rejected the claim",
+)
+#: Fixed value: what counts as money there.
+MONEY_RE = r"(?i)(?:€|\beur\b|\beuros?\b|\b\d[\d,\s.\x{00a0}\x{202f}]{2,}\b)"
 MARKER = "[REDACTED]"
-_CURRENCY = r"(?:EUR|USD|GBP|€|\$|£)"
-MONEY_RE = rf"(?i){_CURRENCY}\s?\d[\d,.\s]*\d|\d[\d,.\s]*\d\s?(?:euros?|dollars?|EUR|USD)"
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -61,12 +66,26 @@ def eur_amounts(c: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(before, after), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")))
 
 
-def redact_lines(c: Column, words: tuple[str, ...] = CLAIM_WORDS) -> tuple[Column, Column]:
-    """Lines with a word of the list or an amount become a marker; also how many did."""
-    rule = r"(?i)\b(?:" + "|".join(words) + r")\b"
-    hit = lambda x: x.rlike(rule) | x.rlike(MONEY_RE)
-    parts = lines(c)
-    return F.array_join(F.transform(parts, lambda x: F.when(hit(x), F.lit(MARKER)).otherwise(x)), "\n"), F.size(F.filter(parts, hit)).cast("long")
+def hides(line: Column, claim_blind: bool = False) -> Column:
+    """Whether a line gives the outcome away.
+
+    By a term of the list, by money beside a word of claiming, awarding or paying, or by non-pecuniary damage
+    claimed or awarded.
+    """
+    x = F.lower(line)
+    has = lambda *words: F.greatest(*[F.contains(x, F.lit(w)) for w in words], F.lit(False))
+    terms, beside = (CLAIM_BLIND_TERMS, ("claim", "award", "pay", "damage")) if claim_blind else (STRICT_TERMS, ("claim", "award", "pay"))
+    names = ("non-pecuniary", "non pecuniary") if claim_blind else ("non-pecuniary",)
+    return has(*terms) | (line.rlike(MONEY_RE) & has(*beside)) | (has(*names) & has("claim", "award", "damage"))
+
+
+def redact_lines(c: Column, claim_blind: bool = False) -> tuple[Column, Column]:
+    """Lines that give the outcome away become a marker; also how many did. Blank texts become empty, a line end at the end goes."""
+    parts = F.split(F.regexp_replace(c, r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
+    hit = lambda x: hides(x, claim_blind)
+    blank = F.coalesce(strip(c), F.lit("")) == ""
+    text = F.array_join(F.transform(parts, lambda x: F.when(hit(x), F.lit(MARKER)).otherwise(x)), "\n")
+    return F.when(blank, "").otherwise(text), F.when(blank, 0).otherwise(F.size(F.filter(parts, hit))).cast("long")
 
 
 def mask_names(c: Column, names: Column, mask: str = "[NAME]") -> Column:
@@ -82,14 +101,21 @@ def looks_like_heading(c: Column, most: int = 120, share: float = 0.65) -> Colum
     return (F.length(c) <= most) & (letters > 0) & (capitals >= share * letters)
 
 
-def heading_name(c: Column) -> Column:
-    """A heading's canonical section, by the first rule that fits."""
-    x = F.lower(squeeze(c))
-    ladder = (("procedure", "procedure"), ("facts|circumstances", "facts"), ("law|admissibility", "law"), ("just satisfaction|article 41|damage", "just_satisfaction"), ("for these reasons|operative", "operative"), ("appendix|annex", "appendix"))
-    out = None
-    for pattern, name in ladder:
-        out = F.when(x.rlike(pattern), name) if out is None else out.when(x.rlike(pattern), name)
-    return out.otherwise("other")
+def heading_name(heading: Column, name: Column | None = None) -> Column:
+    """A heading's canonical section, by the first rule that fits; else the section's own name, else ``unclassified``."""
+    x = F.upper(F.regexp_replace(F.regexp_replace(clean(F.coalesce(heading, F.lit(""))), "’", "'"), "[“”]", '"'))
+    has = lambda *words: F.greatest(*[F.contains(x, F.lit(w)) for w in words], F.lit(False))
+    ladder = (
+        (has("FOR THESE REASONS"), "operative"), (has("THE COURT'S ASSESSMENT"), "assessment_summary"), (has("APPLICATION OF ARTICLE 41", "APPLICATION OF ARTICLE 50", "JUST SATISFACTION"), "article_41"),
+        (has("SUBJECT MATTER OF THE CASE"), "summary_intro"), (x.isin("PROCEDURE", "PROCEEDINGS", "PROCEEDINGS BEFORE THE COURT"), "procedure"), (x == "INTRODUCTION", "introduction"),
+        (has("THE FACTS", "THE CIRCUMSTANCES OF THE CASE"), "facts"), (has("RELEVANT LEGAL FRAMEWORK", "RELEVANT DOMESTIC LAW", "RELEVANT COUNCIL OF EUROPE INSTRUMENTS"), "relevant_law"),
+        (x.isin("THE LAW", "MERITS") | has("ALLEGED VIOLATION OF ARTICLE") | x.startswith("III. MERITS"), "law"), (x.startswith("TABLE-") | x.startswith("TABLE "), "appendix"), (has("OPINION"), "opinion"),
+    )
+    own = F.lower(clean(F.coalesce(name if name is not None else F.lit(""), F.lit(""))))
+    out = F.when(*ladder[0][:1], ladder[0][1])
+    for condition, section in ladder[1:]:
+        out = out.when(condition, section)
+    return out.when(own == "conclusion", "conclusion_misc").when(own != "", own).otherwise("unclassified")
 
 
 def head_of_claim(c: Column, costs_first: bool = True) -> Column:

@@ -400,15 +400,25 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("doc_id", F.length("body").cast("long").alias("n_chars"), X.token_estimate(F.col("body")).alias("n_tokens"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n')) AS line FROM documents)
-    SELECT doc_id, count(CASE WHEN regexp_matches(line, '(?i)\b(?:{'|'.join(X.CLAIM_WORDS)})\b') OR regexp_matches(line, '{X.MONEY_RE}') THEN 1 END) AS redacted, count(*) AS n_lines,
-           count(CASE WHEN regexp_matches(line, '{X.EMAIL_RE}') THEN 1 END) AS with_address FROM l GROUP BY doc_id""")
+#: Lines of documents, some with an outcome appended, so that every rule of the redaction is met.
+_OUTCOMES = ("The applicant claimed EUR 5,000", "under Article 41 of the Convention", "he has to pay 1 200 within", "awarded for non-pecuniary harm", "3,500 euros were lost", "dismisses the claim", "damage of 4,000", "costs and expenses")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text || chr(10) || list_extract(['The applicant claimed EUR 5,000', 'under Article 41 of the Convention', 'he has to pay 1 200 within', 'awarded for non-pecuniary harm', '3,500 euros were lost', 'dismisses the claim', 'damage of 4,000', 'costs and expenses'],
+            CAST(doc_id % 8 AS BIGINT) + 1), '\n')) AS line FROM documents),
+    m AS (SELECT doc_id, line, lower(line) AS x, regexp_matches(line, '(?i)(€|\beur\b|\beuros?\b|\b\d[\d,\s.\x{00a0}\x{202f}]{2,}\b)') AS money FROM l)
+    SELECT doc_id, count(CASE WHEN regexp_matches(x, 'article 41|just satisfaction|non-pecuniary damage|non pecuniary damage|pecuniary damage|costs and expenses|for these reasons|operative provision')
+                 OR (money AND regexp_matches(x, 'claim|award|pay')) OR (contains(x, 'non-pecuniary') AND regexp_matches(x, 'claim|award|damage')) THEN 1 END) AS strict,
+           count(CASE WHEN regexp_matches(x, 'article 41|just satisfaction|for these reasons|operative (provision|clauses)|costs and expenses|finding of a violation constitutes sufficient satisfaction|makes no award|made no award|no award is made|no separate award|(dismisses|dismissed|rejects|rejected) the claim')
+                 OR (money AND regexp_matches(x, 'claim|award|pay|damage')) OR (regexp_matches(x, 'non[- ]pecuniary') AND regexp_matches(x, 'claim|award|damage')) THEN 1 END) AS claim_blind,
+           count(*) AS n_lines, count(CASE WHEN regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 1 END) AS with_address FROM m GROUP BY doc_id""")
 def redaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that a claim-blind view would hide, and lines with addresses."""
-    rows = table(spark, sf_dir, "documents")
-    _, hidden = X.redact_lines(F.col("text"))
+    """Lines that the strict and the claim-blind view hide, and lines with addresses."""
+    outcome = F.element_at(F.array(*[F.lit(o) for o in _OUTCOMES]), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit("\n"), outcome))
+    strict, blind = (X.redact_lines(F.col("text"), claim_blind)[1] for claim_blind in (False, True))
     parts = X.lines(F.col("text"))
-    return rows.select("doc_id", hidden.alias("redacted"), F.size(parts).cast("long").alias("n_lines"), F.size(F.filter(parts, lambda x: x.rlike(X.EMAIL_RE))).cast("long").alias("with_address"))
+    return rows.select("doc_id", strict.alias("strict"), blind.alias("claim_blind"), F.size(parts).cast("long").alias("n_lines"), F.size(F.filter(parts, lambda x: x.rlike(X.EMAIL_RE))).cast("long").alias("with_address"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)

@@ -105,8 +105,9 @@ def test_small_normalisers(spark):
 def test_text_functions(spark):
     assert one(spark, X.clean(F.lit("a\r\n\r\n\r\n\r\nb  \t c "))) == "a\n\nb c"
     assert one(spark, X.eur_amounts(F.lit("EUR 1,500 and 20.5 euros, EUR 1,500"))) == [1500.0, 20.5]
-    text, n = X.redact_lines(F.lit("quiet\nhe claimed it\nEUR 500"))
-    assert one(spark, text) == "quiet\n[REDACTED]\n[REDACTED]" and one(spark, n) == 2
+    text, n = X.redact_lines(F.lit("quiet\nhe claimed it\nEUR 500\nhe claimed EUR 500\nArticle 41\nnon-pecuniary damage of 9\n"))
+    assert one(spark, text) == "quiet\nhe claimed it\nEUR 500\n[REDACTED]\n[REDACTED]\n[REDACTED]" and one(spark, n) == 3
+    assert one(spark, X.redact_lines(F.lit("dismisses the claim\ndamage of 4,000\nlaw"), claim_blind=True)[1]) == 2 and one(spark, X.redact_lines(F.lit(" \n"))[0]) == ""
     assert one(spark, X.mask_names(F.lit("Ann Lee and lee; Leeds"), F.array(F.lit("Lee"), F.lit("Ann Lee")))) == "[NAME] and [NAME]; Leeds"
     assert one(spark, X.looks_like_heading(F.lit("THE LAW"))) and not one(spark, X.looks_like_heading(F.lit("The law")))
     assert one(spark, X.without_adjacent_repeats(F.array(*map(F.lit, "aabba")))) == ["a", "b", "a"]
