@@ -160,16 +160,15 @@ def repeated_units(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs:
 
     @F.pandas_udf(f"removed array<struct<start:long,end:long,first_doc_id:{id_type}>>, removed_words long")
     def chosen(*series: pd.Series) -> pd.DataFrame:
-        found = [spans_of(s, e, w, k, {u["unit"]: u["first_doc_id"] for u in a}, run_words) for s, e, w, k, a in zip(*series, strict=True)]
+        found = [([], 0) if a is None else spans_of(s, e, w, k, {u["unit"]: u["first_doc_id"] for u in a}, run_words) for s, e, w, k, a in zip(*series, strict=True)]
         removed = [[dict(zip(("start", "end", "first_doc_id"), x, strict=True)) for x in row] for row, _ in found]
         return pd.DataFrame({"removed": pd.Series(removed, dtype=object), "removed_words": pd.Series([n for _, n in found], dtype="int64")})
 
-    # a row without repeats stays out of Python
-    joined = docs.join(again, "row", "left").select("doc_id", "row", "n_words", F.size("start").cast("long").alias("n_units"), *columns)
-    some = joined.filter("again is not null").select("doc_id", "row", "n_words", "n_units", chosen(*columns).alias("c")).select("doc_id", "row", "n_words", "n_units", "c.*")
-    none = joined.filter("again is null").select("doc_id", "row", "n_words", "n_units", F.array().cast(some.schema["removed"].dataType).alias("removed"), F.lit(0).cast("long").alias("removed_words"))
+    # the units of a row without repeats stay out of Python
+    needed = [F.when(F.col("again").isNotNull(), F.col(c)) for c in columns]
+    joined = docs.join(again, "row", "left").select("doc_id", "row", "n_words", F.size("start").cast("long").alias("n_units"), chosen(*needed).alias("c"))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return some.unionByName(none).select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "n_words", "removed_words", "removed", "row")
+    return joined.select("doc_id", "row", "n_words", "n_units", "c.*").select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "n_words", "removed_words", "removed", "row")
 
 
 def without_repeats(df: DataFrame, ws: Workspace, min_words: int = 8, paragraphs: bool = False, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
