@@ -69,32 +69,36 @@ class Transducer:
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The pieces of each pre-token."""
-        out = self._paths([w for w in words if len(w) <= LONG])
-        long = [w for w in words if len(w) > LONG]
-        if long:
-            short = iter(out)
-            out = [self._long(w) if len(w) > LONG else next(short) for w in words]
-        return [self._spelled(w, p) for w, p in zip(words, out, strict=True)]
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        out: list = [None] * len(words)
+        paths, fallback = self._paths([words[i] for i in short])
+        for i, path in zip(short, paths, strict=True):
+            out[i] = path
+        for k in fallback:
+            out[short[k]] = self._spelled(words[short[k]], out[short[k]])
+        for i, w in enumerate(words) if len(short) < len(words) else ():
+            if out[i] is None:
+                out[i] = self._spelled(w, self._long(w))
+        return out
 
     def _long(self, word: str) -> np.ndarray:
         if self.model.unigram:
             return self._one_by_one(word)
-        return self.model.in_windows(word, lambda parts: [p.astype(np.int64) for p in self._paths([word[s] for s in parts])])
+        return self.model.in_windows(word, lambda parts: [p.astype(np.int64) for p in self._paths([word[s] for s in parts])[0]])
 
     def _spelled(self, word: str, pieces: np.ndarray) -> np.ndarray:
         """Letters that are no piece as their bytes."""
         lone = np.flatnonzero(pieces >= self.model.n)
-        if not len(lone):
-            return pieces.astype(np.int32)
         ends, out, last = np.cumsum(self.model.piece_len[pieces]), [], 0
         for i in lone.tolist():
             out += [pieces[last:i], self.bytes_of[list(word[ends[i] - 1].encode("utf-8", "surrogatepass"))]]
             last = i + 1
         return np.concatenate([*out, pieces[last:]]).astype(np.int32)
 
-    def _paths(self, words: list[str]) -> list[np.ndarray]:
+    def _paths(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """The shortest path of each word, and the words on whose path a letter is no piece."""
         flat, _, lengths = self.model.symbols(words)
-        starts, out = starts_of(lengths), [None] * len(words)
+        starts, out, fallback = starts_of(lengths), [None] * len(words), []
         order = np.argsort(lengths, kind="stable")
         bounds = [0]
         while bounds[-1] < len(order):  # words of similar length together
@@ -103,8 +107,8 @@ class Transducer:
             high = int(np.searchsorted(lengths[order], most, side="right"))
             bounds.append(min(high, low + max(1, 2_000_000 // most)))
         for low, high in zip(bounds, bounds[1:], strict=False):
-            self._together(order[low:high], flat, starts, words, out)
-        return out
+            self._together(order[low:high], flat, starts, words, out, fallback)
+        return out, fallback
 
     def _one_by_one(self, word: str) -> np.ndarray:
         """The shortest path through one long pre-token of a unigram model, place by place."""
@@ -125,7 +129,7 @@ class Transducer:
             n -= size[n]
         return np.array(out[::-1])
 
-    def _together(self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: list[str], out: list) -> None:
+    def _together(self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, words: list[str], out: list, fallback: list[int]) -> None:
         n = (starts[1:] - starts[:-1])[rows]
         wide = int(n.max())
         grid = np.full((len(rows), wide), -1, np.int64)
@@ -180,10 +184,11 @@ class Transducer:
         what = np.concatenate([s[1] for s in steps])
         where = np.concatenate([s[2] for s in steps])
         turn = np.lexsort((where, who))
-        who, what = who[turn], what[turn]
-        cut = np.searchsorted(who, np.arange(len(rows) + 1))
-        for i, r in enumerate(rows.tolist()):
-            out[r] = what[cut[i] : cut[i + 1]]
+        who, what = who[turn], what[turn].astype(np.int32)
+        fallback += rows[np.unique(who[what >= self.model.n])].tolist()
+        cut = np.searchsorted(who, np.arange(len(rows) + 1)).tolist()
+        for r, a, b in zip(rows.tolist(), cut, cut[1:], strict=False):
+            out[r] = what[a:b]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes: the pieces' own, without the dummy prefix."""
