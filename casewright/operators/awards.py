@@ -56,8 +56,8 @@ def joint_rows(rows: DataFrame, key: str, head: str, amount: str, index: str) ->
     return same.join(sizes, key).withColumn("joint", (F.col("n") == F.col("_all")) & (F.col("n") > 1)).drop("_all")
 
 
-def resolve_beneficiaries(labels: DataFrame, people: DataFrame, key: str) -> DataFrame:
-    """``labels`` (key, label) with the applicant's index: an ordinal in the label, else the full name, else a surname that only one has.
+def resolve_beneficiaries(labels: DataFrame, people: DataFrame, key: str, given: str | None = None) -> DataFrame:
+    """``labels`` (key, label) with the applicant's index: the ``given`` one, else an ordinal in the label, else the full name, else a surname that only one has.
 
     ``people``: key, index, name. Surnames that several share resolve nobody.
     """
@@ -67,9 +67,9 @@ def resolve_beneficiaries(labels: DataFrame, people: DataFrame, key: str) -> Dat
     surnames = people.withColumn("_surname", surname).groupBy(key, "_surname").agg(F.countDistinct("index").alias("_n"), F.min("index").alias("_by_surname")).filter("_n = 1").drop("_n")
     rows = labels.withColumn("_name", low(F.col("label"))).withColumn("_surname", F.element_at(F.split(F.col("_name"), " "), -1))
     out = rows.join(names, [key, "_name"], "left").join(surnames, [key, "_surname"], "left")
-    number = ordinal_index(F.col("label"))
-    how = F.when(number.isNotNull(), "ordinal").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_surname").isNotNull(), "surname").otherwise("unresolved")
-    return out.withColumn("how", how).withColumn("index", F.coalesce(number, F.col("_by_name"), F.col("_by_surname")).cast("int")).drop("_name", "_surname", "_by_name", "_by_surname")
+    number, stated = ordinal_index(F.col("label")), F.col(given) if given else F.lit(None).cast("int")
+    how = F.when(stated.isNotNull(), "index").when(number.isNotNull(), "ordinal").when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_surname").isNotNull(), "surname").otherwise("unresolved")
+    return out.withColumn("how", how).withColumn("index", F.coalesce(stated, number, F.col("_by_name"), F.col("_by_surname")).cast("int")).drop("_name", "_surname", "_by_name", "_by_surname")
 
 
 def padded(counts: DataFrame, key: str, n: str, overlay: DataFrame, index: str, columns: list[str]) -> DataFrame:

@@ -52,12 +52,6 @@ def collapse(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("row_hash", F.sha2(text, 256)).groupBy("row_hash", *columns).agg(F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_set(source)), ";").alias("sources"))
 
 
-def id_digest(df: DataFrame, key: str) -> DataFrame:
-    """The number of ids and the SHA-256 of their sorted list, one a line; meant for the selected few of a view."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n")
-    return df.agg(F.count("*").alias("n"), F.sha2(F.concat(joined, F.lit("\n")), 256).alias("digest"))
-
-
 def promote(candidates: DataFrame, allocations: DataFrame, key: str, target: str, amount: str) -> DataFrame:
     """Reviewed candidates: which are promoted and why the others are not.
 

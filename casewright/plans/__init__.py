@@ -1,3 +1,3 @@
 """The case view and the queries; importing the package registers all of them."""
 
-from casewright.plans import queries_more, queries_tables, queries_texts  # noqa: F401
+from casewright.plans import queries_more, queries_records, queries_tables, queries_texts  # noqa: F401

@@ -50,28 +50,21 @@ def cross_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS idx FROM lineitem WHERE l_linenumber <= 7 AND l_orderkey % 10 = 0),
-    l AS (SELECT case_id, idx, CASE WHEN idx % 4 = 0 THEN 'ordinal' WHEN idx % 4 = 1 THEN CASE WHEN idx IN (1, 5) THEN 'ordinal' ELSE 'unresolved' END WHEN idx % 4 = 2 THEN 'name' ELSE 'surname' END AS how FROM p)
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS idx FROM lineitem),
+    l AS (SELECT case_id, idx, CASE WHEN idx % 5 = 0 THEN 'index' WHEN idx % 4 = 0 THEN 'ordinal' WHEN idx % 4 = 1 THEN CASE WHEN idx IN (1, 5) THEN 'ordinal' ELSE 'surname' END WHEN idx % 4 = 2 THEN 'name' ELSE 'surname' END AS how FROM p)
     SELECT how, count(*) AS n, CAST(sum(idx) AS BIGINT) AS sum_index FROM l GROUP BY how""")
 def beneficiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of every tenth case resolved to applicants by ordinal, name or surname; ``beneficiaries_all`` takes all cases."""
-    return _resolved(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS idx FROM lineitem WHERE l_linenumber <= 7),
-    l AS (SELECT case_id, idx, CASE WHEN idx % 4 = 0 THEN 'ordinal' WHEN idx % 4 = 1 THEN CASE WHEN idx IN (1, 5) THEN 'ordinal' ELSE 'unresolved' END WHEN idx % 4 = 2 THEN 'name' ELSE 'surname' END AS how FROM p)
-    SELECT how, count(*) AS n, CAST(sum(idx) AS BIGINT) AS sum_index FROM l GROUP BY how""")
-def beneficiaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all cases resolved to applicants by ordinal, name or surname."""
+    """Labels of all cases resolved to applicants by an explicit index, an ordinal, the name or a surname."""
     return _resolved(table(spark, sf_dir, "lineitem"))
 
 
 def _resolved(lines: DataFrame) -> DataFrame:
-    rows = lines.filter("l_linenumber <= 7").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("index")).distinct()
+    rows = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("index")).distinct()
     people = rows.withColumn("name", F.concat(F.lit("Person "), F.chr(F.lit(64) + F.col("index"))))
     i = F.col("index")
     label = F.when(i % 4 == 0, F.concat(F.lit("applicant "), i.cast("string"))).when(i == 1, "the first applicant").when(i == 5, "the fifth applicant").when(i % 4 == 2, F.col("name")).otherwise(F.concat(F.lit("Mr "), F.chr(F.lit(64) + i)))
-    out = awards.resolve_beneficiaries(people.select("case_id", label.alias("label")), people, "case_id")
+    given = F.when(i % 5 == 0, i)
+    out = awards.resolve_beneficiaries(people.select("case_id", label.alias("label"), given.alias("given")), people, "case_id", "given")
     return out.groupBy("how").agg(F.count("*").alias("n"), F.sum("index").cast("long").alias("sum_index"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
+import json
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -20,7 +23,7 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).head()
     if first is None:
         raise ValueError(f"{path} has no header")
-    names = [c.strip().strip('"') for c in first[0].lstrip("﻿").split(",")]
+    names = [c.strip() for c in next(csv.reader([first[0].lstrip("\ufeff")]))]
     if len(set(names)) != len(names):
         raise ValueError(f"{path} repeats column names")
     return names
@@ -80,9 +83,9 @@ def look_up(ids: DataFrame, store: DataFrame, fallback: DataFrame, key: str) ->
 
 def exactly_one(df: DataFrame, key: str, value: object) -> DataFrame:
     """The one row with the id; none or several are an error when the plan runs."""
-    found = df.filter(F.col(key) == F.lit(value)).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
-    checked = F.when(F.size("rows") == 1, F.col("rows")).otherwise(F.raise_error(F.concat(F.lit(f"not exactly one row with {key} {value}: "), F.size("rows").cast("string"))).cast(found.schema["rows"].dataType))
-    return found.select(F.inline(checked))
+    found = df.filter(F.col(key) == F.lit(value)).agg(F.count("*").alias("n"), F.first(F.struct(*df.columns)).alias("row"))
+    checked = F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.concat(F.lit(f"not exactly one row with {key} {value}: "), F.col("n").cast("string"))).cast(found.schema["row"].dataType))
+    return found.select(checked.alias("row")).select("row.*")
 
 
 def sidecar(df: DataFrame, key: str, order: str, multi: bool) -> DataFrame:
@@ -124,3 +127,110 @@ def docx(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(name, *b) for b in blocks], columns=["path", "block", "kind", "text", "in_appendix"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, block int, kind string, text string, in_appendix boolean")
+
+
+def inferred_csv(spark: SparkSession, path: str, missing: Sequence[str] = ("", "NA", "NaN", "nan", "null", "None")) -> DataFrame:
+    """Columns with the type that all their values have: whole numbers, numbers, booleans, else text; missing marks are null."""
+    rows = strict_csv(spark, path)
+    blank = {c: F.when(~F.trim(c).isin(*missing), F.trim(c)) for c in rows.columns}
+    kinds = (("long", "bigint"), ("double", "double"), ("boolean", "boolean"))
+    fits = rows.agg(*[F.bool_and(v.isNull() | v.try_cast(kind).isNotNull()).alias(f"{i}_{k}") for i, v in enumerate(blank.values()) for k, (_, kind) in enumerate(kinds)], *[F.count(v).alias(f"{i}_n") for i, v in enumerate(blank.values())]).head()
+    out = []
+    for i, (c, v) in enumerate(blank.items()):
+        kind = next((kind for k, (_, kind) in enumerate(kinds) if fits[f"{i}_n"] and fits[f"{i}_{k}"]), None)
+        out.append((v.try_cast(kind) if kind else v).alias(c))
+    return rows.select(*out)
+
+
+def json_items(stream, piece: int = 1 << 20) -> Iterator[object]:
+    """The members of one large JSON array, read a piece at a time; whole objects are never held together."""
+    decoder, text, held, at, begun = codecs.getincrementaldecoder("utf-8")(), json.JSONDecoder(), "", 0, False
+    while True:
+        data = stream.read(piece)
+        held, at = held[at:] + decoder.decode(data, not data), 0
+        while True:
+            while at < len(held) and held[at] in " \t\r\n,\ufeff":
+                at += 1
+            if at == len(held):
+                break
+            if not begun:
+                if held[at] != "[":
+                    raise ValueError("the file is no JSON array")
+                begun, at = True, at + 1
+                continue
+            if held[at] == "]":
+                return
+            try:
+                value, end = text.raw_decode(held, at)
+            except ValueError:
+                break  # the rest is in the next piece
+            if end == len(held) and data and not isinstance(value, dict | list | str):
+                break  # a number may go on
+            yield value
+            at = end
+        if not data:
+            raise ValueError("the array does not end")
+
+
+def json_array(spark: SparkSession, path: str, key: str = "itemid", wanted: Sequence[str] | None = None) -> DataFrame:
+    """``key, record`` (JSON text) of files that hold one large JSON array each; with ``wanted`` reading stops once all are found.
+
+    One task reads a file in pieces through the file system that its path names; records leave it in small batches.
+    """
+    wanted = set(map(str, wanted)) if wanted is not None else None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for rows in batches:
+            for name in rows["path"]:
+                left = set(wanted) if wanted is not None else None
+                system, inner = fs.FileSystem.from_uri(name)
+                with system.open_input_stream(inner) as stream:
+                    held: list[tuple] = []
+                    for item in json_items(stream):
+                        own = str(item.get(key)) if isinstance(item, dict) and item.get(key) is not None else None
+                        if left is not None and own not in left:
+                            continue
+                        held.append((own, json.dumps(item, ensure_ascii=False, sort_keys=True)))
+                        if left is not None:
+                            left.discard(own)
+                        if len(held) >= 500:
+                            yield pd.DataFrame(held, columns=[key, "record"])
+                            held = []
+                        if left is not None and not left:
+                            break
+                    yield pd.DataFrame(held, columns=[key, "record"])
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: contents are not loaded
+    return files.mapInPandas(read, f"{key} string, record string")
+
+
+def split_members(spark: SparkSession, path: str, split: str, key: str = "itemid") -> DataFrame:
+    """``key, place`` of a split's members in their order: from JSON (``{split: [ids]}`` or a list) or a CSV with a split column; repeats stop the plan."""
+    if path.endswith(".csv"):
+        rows = strict_csv(spark, path, [key, "split"]).withColumn("place", F.monotonically_increasing_id()).filter(F.col("split") == split).select(key, "place")
+    else:
+        whole = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))  # a list of ids, of the size of a split
+        ids = whole.get(split) if isinstance(whole, dict) else whole
+        if not isinstance(ids, list):
+            raise ValueError(f"{path} has no list for {split}")
+        rows = spark.createDataFrame([(str(x), i) for i, x in enumerate(ids)], f"{key} string, place long")
+    counts = rows.groupBy(key).agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    return counts.select(key, F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated member: "), F.col(key))).cast("long")).otherwise(F.col("place")).alias("place"))
+
+
+def release_root(path: str | None, version: str, known: Sequence[str] = ("corrected",)) -> str:
+    """The folder of a release: named explicitly, never searched for; an unknown version is an error."""
+    if not path:
+        raise ValueError("name the release's folder")
+    if version not in known:
+        raise ValueError(f"unknown version {version}, known: {list(known)}")
+    return path.rstrip("/")
+
+
+def knowledge_base(spark: SparkSession, root: str) -> DataFrame:
+    """``module, text, allowed_modes, leakage_tier`` of the modules that ``index.json`` under ``root`` lists, with their files' texts."""
+    index = spark.read.option("multiLine", True).schema("modules array<struct<module_id:string,path:string,allowed_modes:array<string>,leakage_tier:string>>").json(f"{root}/index.json").select(F.inline("modules"))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).withColumn("file", F.input_file_name())
+    return index.join(files, F.endswith("file", F.concat(F.lit("/"), F.col("path"))), "left").select(F.col("module_id").alias("module"), F.col("value").alias("text"), "allowed_modes", "leakage_tier")

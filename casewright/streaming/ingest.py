@@ -37,12 +37,12 @@ def update_plan(index: DataFrame, known: DataFrame, key: str, date: str, since:
     known without document hash: metadata_unchanged_source_unverified; else unchanged.
     """
     k = known.select(F.col(key).alias("k_key"), row_hash(*meta).alias("k_meta"), F.col(document).alias("k_document"))
-    rows = index.select(key, date, row_hash(*meta).alias("meta"), F.col(document).alias("document")).join(k, F.col(key) == F.col("k_key"), "left")
+    rows = index.select(key, since.alias("since"), until.alias("until"), F.col(date).alias("when"), row_hash(*meta).alias("meta"), F.col(document).alias("document")).join(k, F.col(key) == F.col("k_key"), "left")
     action = (
         F.when(F.col("k_key").isNull(), "add_candidate").when(F.col("meta") != F.col("k_meta"), "review_metadata_revision")
         .when(F.col("document").isNull() | F.col("k_document").isNull(), "metadata_unchanged_source_unverified").when(F.col("document") != F.col("k_document"), "review_document_revision").otherwise("unchanged")
     )
-    rows = rows.withColumn("action", action).withColumn("inside", (F.col(date) >= since) & (F.col(date) < until))
+    rows = rows.withColumn("action", action).withColumn("inside", (F.col("when") >= F.col("since")) & (F.col("when") < F.col("until")))
     wanted = F.col("inside") | (F.lit(known_outside) & (F.col("action") == "review_metadata_revision"))
     return rows.filter(wanted).select(key, "action")
 
