@@ -42,7 +42,7 @@ class Transducer:
         raw = [p.replace(MARK, " ").encode() for p in text]
         for value, i in model.bytes_of.items():
             raw[i] = bytes([value])
-        self.raw, self.raw_starts = np.frombuffer(b"".join(raw), np.uint8), starts_of(np.array([len(r) for r in raw]))
+        self.raw, self.raw_sizes = raw, np.array([len(r) for r in raw])
         self.bytes_of = np.array([model.bytes_of[b] for b in range(256)])
 
     def _automaton(self, out: np.ndarray) -> None:
@@ -161,14 +161,19 @@ class Transducer:
             for k in range(min(reach, j), 0, -1):
                 piece = arcs[k - 1, todo, j - k].astype(np.int64)
                 can = np.flatnonzero(piece >= 0)
+                if not len(can):
+                    continue
                 at, piece = todo[can], piece[can]
                 total = cost[at, j - k] + self.weight[piece]
-                less = np.flatnonzero(total < cost[at, j])
-                at, piece, total = at[less], piece[less], total[less]
-                if j > k and len(at) and not self.model.unigram:  # pieces that merging does not leave side by side: infinite
-                    fine = self.model.apart(last[at, j - k], piece)
-                    at, piece, total = at[fine], piece[fine], total[fine]
-                last[at, j], size[at, j], cost[at, j] = piece, k, total
+                less = total < cost[at, j]
+                if j > k and not self.model.unigram:  # pieces that merging does not leave side by side: infinite
+                    less[less] = self.model.apart(last[at[less], j - k], piece[less])
+                at = at[less]
+                last[at, j], size[at, j], cost[at, j] = piece[less], k, total[less]
+                if not self.model.unigram and len(at):  # no other arc of theirs is finite
+                    todo = np.delete(todo, can[less])
+                    if not len(todo):
+                        break
         # back along the path
         at, place = np.arange(len(rows)), n.copy()
         steps = []
@@ -192,8 +197,8 @@ class Transducer:
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes: the pieces' own, without the dummy prefix."""
-        flat, sizes = ragged_take(self.raw, self.raw_starts, ids)
-        whole, at, first = flat.tobytes(), starts_of(sum_by_row(sizes, lengths)), self.model.prefix.encode()
+        whole, first = b"".join(map(self.raw.__getitem__, ids.tolist())), self.model.prefix.encode()
+        at = starts_of(sum_by_row(self.raw_sizes[ids], lengths))
         return [whole[a + (first != b"" and whole[a : a + 1] == first) : b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
 
 

@@ -10,12 +10,13 @@ bound lies below it). The fixed order of trying needs no correction, and the rul
 divided by the number of strata (Bonferroni). Of the certified steps the first that drops the most bad documents is
 used. Languages whose good labels could not certify even a step that loses nothing are pooled into one stratum, with
 the next smallest language where they are still too few. So with probability ``1 - level`` no stratum, the pool
-being one, loses more than ``risk`` of its good documents by these rules.
+being one, loses more than ``risk`` of its good documents by these rules. What the base rules reject is no part of that promise.
 
 What reaches the driver are counts by stratum, label and step (of the grids, then of the paths): their number does not depend on
 the number of documents.
 
-Defined results: a null text has no words and fails the base rules; a null stratum is a stratum of its own;
+Defined results: a null text has no words and fails the base rules; a null stratum is a stratum of its own; strata
+beyond the ``MOST_STRATA`` with the most labels are one stratum;
 a stratum without labels, and all where even together the labels are too few, have no cutoff and keep what the base rules keep; repeated label rows of a
 document count once, the highest label; label rows without document and documents without label are left
 out of the calibration; repeated rows give a row each; empty tables give no rows.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from casewright.llm.common import Workspace, in_fold
 from casewright.llm.text_stats import with_stats
 
+#: Strata with rules of their own at most: those with the most labels; all others are one stratum.
+MOST_STRATA, OTHERS = 200, "(others)"
 #: Shares of good documents that each rule may drop, step by step of the path.
 BUDGETS = (0, 0.0005, 0.001, 0.0015, 0.002, 0.003, 0.004, 0.005, 0.0075, 0.01)
 
@@ -40,8 +43,6 @@ def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-
-
 def rules() -> dict[str, tuple[Column, np.ndarray]]:
     """Statistics as columns over ``text_stats.COUNTS``; large values are bad."""
     share = np.round(np.linspace(0.98, 0.02, 49), 4)
@@ -58,9 +59,14 @@ def rules() -> dict[str, tuple[Column, np.ndarray]]:
 
 def at_most(x: int, n: int, p: float) -> float:
     """The probability that a binomial variable is ``x`` or less."""
-    if n <= 0 or x >= n:
-        return 1.0
-    k = np.arange(x + 1)
+    if n <= 0 or x >= n * p:  # then it is about a half or more, and no test rejects
+        return 1.0 if n <= 0 or x >= n else float(_sum(x, n, p)) if n <= 10_000 else 1.0
+    return float(_sum(x, n, p))
+
+
+def _sum(x: int, n: int, p: float) -> float:
+    """The terms from ``x`` down, as many as matter: they fall off faster than a normal tail."""
+    k = np.arange(max(0, x - 100 - int(60 * math.sqrt(n * p))), x + 1)
     lg = np.frompyfunc(math.lgamma, 1, 1)
     log = math.lgamma(n + 1) - lg(k + 1.0).astype(float) - lg(n - k + 1.0).astype(float) + k * math.log(p) + (n - k) * math.log1p(-p)
     return float(min(1.0, np.exp(log).sum()))
@@ -106,11 +112,14 @@ def proposed(good: dict[str, np.ndarray], bad: dict[str, np.ndarray]) -> list[di
     return path
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, risk: float, level: float) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule. ``stats``: doc_id, stratum, counts; ``labels``: doc_id, label."""
+def thresholds(stats: DataFrame, labels: DataFrame, risk: float, level: float) -> tuple[dict[str, dict[str, float]], Column]:
+    """Cutoffs by stratum and rule, and the stratum as a column. ``stats``: doc_id, stratum, counts; ``labels``: doc_id, label."""
     marked = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = rules()
     joined = stats.join(marked, "doc_id").withColumn("tuning", in_fold("doc_id", 0, 3))
+    own = [r["stratum"] for r in joined.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MOST_STRATA).collect()]
+    named = F.when(F.col("stratum").isin(*own), F.col("stratum")).otherwise(F.lit(OTHERS))
+    joined = joined.withColumn("stratum", named)
     counted = [F.sum((F.col("label") == 1).cast("long")).alias("good"), F.sum((F.col("label") != 1).cast("long")).alias("bad")]
     # a rule's step: the number of grid cutoffs that are not below the statistic, so that the loosest that rejects is known
     steps = [F.struct(F.lit(name).alias("rule"), _step(value, grid).alias("step")) for name, (value, grid) in known.items()]
@@ -144,7 +153,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float, level: float) -
         if k is not None:
             for stratum in (s for s in pool if pool[s] == p):
                 out[stratum] = {name: float(known[name][1][at]) for name, at in path[k].items()}
-    return out
+    return out, named
 
 
 def _step(value: Column, grid: np.ndarray) -> Column:
@@ -157,13 +166,13 @@ def apply_rules(df: DataFrame, labels: DataFrame, ws: Workspace, risk: float = 0
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules``."""
     stats = with_stats(df, text_col, {id_col: "doc_id", stratum_col: "stratum"})
     stats = ws.keep(stats.withColumn("stratum", F.coalesce(F.col("stratum").cast("string"), F.lit(""))), "stats")
-    cuts = thresholds(stats, labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")), risk, level)
+    cuts, named = thresholds(stats, labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")), risk, level)
     failed = []
     for name, (value, _) in rules().items():
         own = F.lit(False)
         for stratum, by_rule in cuts.items():
             if name in by_rule:
-                own = own | ((F.col("stratum") == stratum) & (value > by_rule[name]))
+                own = own | ((named == stratum) & (value > by_rule[name]))
         failed.append(F.when(own, F.lit(name)))
     out = stats.withColumn("failed_rules", F.array_compact(F.array(*failed)))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words")))

@@ -220,6 +220,74 @@ def test_rules_reject_at_the_production_risk(spark, ws):
     assert quality_rules.pools({"en": 1400, "de": 30}, 0.01, 0.05) == {"de": 0, "en": 0}
 
 
+def plain_verdicts(texts, langs, labels, risk, level):
+    """Which documents the certified rules reject, step by step in plain Python."""
+    counts = text_stats.measure(texts)
+    share = lambda a, b: (counts[a] / counts[b].clip(lower=1)).tolist()
+    falling, lengths = np.round(np.linspace(0.98, 0.02, 49), 4).tolist(), np.round(np.geomspace(60, 5, 40), 3).tolist()
+    rules = {
+        "symbols": (share("n_symbols", "word_chars"), falling), "dup_lines": (share("n_dup_lines", "n_lines"), falling), "repeats": (share("n_repeat_words", "n_words"), falling), "capitals": (share("n_upper", "word_chars"), falling),
+        "digits": (share("n_digits", "word_chars"), falling), "long_words": (share("word_chars", "n_words"), lengths), "short_words": (share("n_words", "word_chars"), falling),
+    }
+    fold = {i: zlib.crc32(str(i).encode()) % 3 == 0 for i in labels}
+    strata, n_good = sorted(set(langs[i] for i in labels)), Counter(langs[i] for i in labels if not fold[i] and labels[i] == 1)
+    own_level = level / len(strata)
+    need = math.ceil(math.log(own_level) / math.log1p(-risk))
+    order = sorted(strata, key=lambda s: (n_good[s], s))
+    few = sum(n_good[s] < need for s in order)
+    while 0 < few < len(order) and sum(n_good[s] for s in order[:few]) < need:
+        few += 1
+    rejected = set()
+    for members in [order[:few], *([s] for s in order[few:])]:
+        of = lambda tuning, kind: [i for i in labels if langs[i] in members and fold[i] == tuning and (labels[i] == 1) == kind]  # noqa: B023, E731
+        path = []
+        for budget in quality_rules.BUDGETS:
+            step = {}
+            for name, (value, grid) in rules.items():
+                best = None
+                good, bad = of(True, True), of(True, False)
+                for cut in grid:
+                    lost, caught = sum(value[i] > cut for i in good), sum(value[i] > cut for i in bad)
+                    if lost <= budget * max(1, len(good)) and caught * max(1, len(good)) > lost * len(bad) and (best is None or caught > best[0]):
+                        best = (caught, cut)
+                if best:
+                    step[name] = best[1]
+            if step and step not in path:
+                path.append(step)
+        chosen, most = None, -1
+        good, bad = of(False, True), of(False, False)
+        out = lambda i, step: any(rules[name][0][i] > cut for name, cut in step.items())  # noqa: B023, E731
+        # a document is counted at the first step of the path that rejects it
+        for k in range(len(path)):
+            lost, caught = (sum(any(out(i, s) for s in path[: k + 1]) for i in some) for some in (good, bad))
+            if sum(math.comb(len(good), j) * risk**j * (1 - risk) ** (len(good) - j) for j in range(lost + 1)) > own_level:
+                break
+            if bad and caught * len(good) > lost * len(bad) and caught > most:
+                chosen, most = path[k], caught
+        if chosen:
+            rejected |= {i for i in range(len(texts)) if langs[i] in members and out(i, chosen)}
+    return rejected
+
+
+def test_verdicts_against_plain_rules(spark, ws):
+    rng = random.Random(8)
+    texts, langs, labels = [], [], {}
+    for i in range(900):
+        bad = rng.random() < 0.3
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(1000)) * (rng.random() < 0.5) for _ in range(60)]
+        if bad or rng.random() < 0.004:
+            words = [w + "#" * rng.randint(0, 6) if rng.random() < 0.7 else w.upper() for w in words]
+        texts.append(" ".join(words))
+        langs.append(("en", "en", "de", "fr")[i % 4])
+        if i % 7:
+            labels[i] = int(not bad)
+    docs = spark.createDataFrame([(i, t, langs[i]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), ws, risk=0.06).collect()}
+    want = plain_verdicts(texts, langs, labels, 0.06, 0.05)
+    assert want and {i for i, r in got.items() if r.failed_rules} == want
+    assert all(r.kept == (not r.base_failed and i not in want) for i, r in got.items())
+
+
 def test_rules_odd_rows(spark, odd, ws):
     none = spark.createDataFrame([(None, None), (1, 1), (1, 0), (99, 1)], "doc_id long, quality int")
     got = quality_rules.apply_rules(odd, none, ws).collect()
@@ -453,6 +521,62 @@ def test_passages_inside_lines_and_short_lines(spark, ws):
     assert cleaned[0] == texts[0] and cleaned[1].split() == left[1].split() and cleaned[1].count("\n") == 2
 
 
+def plain_spans(texts, min_words=1):
+    """What of each text is removed: (start, end, first document), unit by unit in plain Python."""
+    first, every = {}, []
+    for i, t in enumerate(texts):
+        units = line_dedup.units(t or "", False, min_words)
+        every.append(units)
+        for k, u in enumerate(units):
+            first.setdefault(u[2:4], (i, k))
+    out = []
+    for i, units in enumerate(every):
+        again, spans = [first[u[2:4]] != (i, k) for k, u in enumerate(units)], []
+        for line in sorted({u[5] for u in units}):
+            here = [k for k, u in enumerate(units) if u[5] == line]
+            run = []
+            for k in [*here, None]:
+                if k is not None and again[k]:
+                    run.append(k)
+                    continue
+                if run and (run == here or sum(units[j][4] for j in run) >= line_dedup.RUN_WORDS):
+                    for j in run:
+                        of = first[units[j][2:4]][0]
+                        if j != run[0] and spans[-1][2] == of:
+                            spans[-1] = (spans[-1][0], units[j][1], of)
+                        else:
+                            spans.append((units[j][0], units[j][1], of))
+                run = []
+        out.append(spans)
+    return out
+
+
+def test_pieces_cover_their_lines():
+    rng = random.Random(14)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "bb ", "c. ", "\n", " ", "d! ", "é\t", "e"]) for _ in range(rng.randint(0, 120)))
+        units = line_dedup.units(text, False, 1)
+        for line in {u[5] for u in units}:
+            own = [u for u in units if u[5] == line]
+            assert text[own[0][0] : own[-1][1]] == text.split("\n")[line] and all(b[0] == a[1] + 1 for a, b in zip(own, own[1:], strict=False))
+            assert [len(WORD.findall(text[u[0] : u[1]])) for u in own] == [u[4] for u in own]
+
+
+def test_repeats_against_plain_grouping(spark, ws):
+    rng = random.Random(15)
+    passages = invented(8, 16, 60, 400)
+    texts = []
+    for _ in range(80):
+        parts = [rng.choice(passages) if rng.random() < 0.4 else " ".join(invented(1, rng.random(), 30, 400)) for _ in range(rng.randint(1, 4))]
+        texts.append(rng.choice(["\n", ". ", " "]).join(parts))
+    texts += ["", None, texts[0], "short", "short\nshort"]
+    got = {r.doc_id: r for r in line_dedup.repeated_units(documents(spark, texts), ws, min_words=1).collect()}
+    want = plain_spans(texts)
+    assert [[(s.start, s.end, s.first_doc_id) for s in got[i].removed] for i in range(len(texts))] == want and sum(map(len, want)) > 50
+    assert [got[i].n_words for i in range(len(texts))] == [len(WORD.findall(t or "")) for t in texts]
+    assert [got[i].removed_words for i in range(len(texts))] == [sum(len(WORD.findall((texts[i] or "")[a:b])) for a, b, _ in want[i]) for i in range(len(texts))]
+
+
 def test_lines_odd_rows_and_paragraphs(spark, odd, ws):
     assert line_dedup.repeated_units(odd, ws, min_words=1).count() == odd.count()
     assert [u[:2] for u in line_dedup.units("a b\nc\n \nd e f", True, 1)] == [(0, 5), (8, 13)]
@@ -482,6 +606,21 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) >= 0.95 * len(held)
 
 
+def test_scores_against_plain_tables(spark):
+    import bisect
+
+    texts = [t if i % 3 else t.upper() + " #1" * (i % 5) for i, t in enumerate(invented(240, 17, 60))] + ["", None]
+    labels = {i: int(i % 3 > 0) for i in range(240) if i % 4}
+    got = {r.doc_id: r for r in quality_model.score_quality(documents(spark, texts), spark.createDataFrame([(i, q, 0) for i, q in labels.items()], LABELS)).collect()}
+    x = quality_model.features(text_stats.measure([t or "" for t in texts]))
+    taught = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5)
+    model = quality_model.fit(x[taught], np.array([labels[i] for i in taught], float))
+    for i, row in enumerate(x.tolist()):
+        raw = model.base + sum(float(t[bisect.bisect_right(e.tolist(), v)]) for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        raw += sum(float(t[bisect.bisect_right(model.coarse[a].tolist(), row[a]), bisect.bisect_right(model.coarse[b].tolist(), row[b])]) for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, raw)))), abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3)
+
+
 def test_classifier_odd_rows(spark, odd):
     none = spark.createDataFrame([(None, 1), (1, None), (2, 0), (2, 1)], "doc_id long, quality int")
     got = quality_model.score_quality(odd, none).collect()

@@ -52,6 +52,30 @@ def test_stages(spark, folder, ws):
     assert last.count() == mixed.count() and last.filter("not round_trip").count() == 0
 
 
+BIG = 2**60 + 1
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, ws, empty):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, None, None, None, None, "x", 1), (None, "a b c", "en", "s", 5, "x", 1), (BIG, "a  b c", "en", "s", 5, "x", 1), (BIG, "a  b c", "en", "s", 5, "x", 1), (BIG + 2, "", "de", None, 0, "y", 2), (BIG + 4, long, "en", "s", 1, "y", 2)]
+    rows += [(BIG + 6, long + " end", "en", "s", 1, "y", 2), (BIG + 8, "q" * 30_000, None, "t", 1, "y", 2)]
+    form = "doc_id long, text string, lang string, source string, n_chars long, _id string, node int"
+    spark.createDataFrame([] if empty else rows, form).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (BIG, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf_dir = f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = ws.keep(stage(spark, docs, sf_dir), f"{k}{name}")
+        left.append([tuple(r) for r in out.collect()])
+        if k < 4:
+            assert out.columns == docs.columns and set(left[-1]) <= set(rows)
+        docs = out
+    sizes = [len(x) for x in left]
+    assert sizes == [0] * 5 if empty else (sizes[:3] == [8, 5, 4] and {r[0] for r in left[2]} == {BIG, BIG + 2, BIG + 4, BIG + 8} and sizes[3] == sizes[4] > 0)
+
+
 def test_run_is_the_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "pieces", "n_pieces", "round_trip"] and out.count() > 0
