@@ -1,7 +1,13 @@
 """A training corpus from raw documents: rejected by quality, exact and near copies dropped, mixed, encoded.
 
 A stage takes the rows that its predecessor left, read again from Parquet; all but the last return the columns
-of documents. Tables that a stage wrote for itself are deleted when the next one starts.
+of documents. Tables that a stage wrote for itself are deleted when the next one starts, and what a stage left when
+its successor has been written.
+
+Defined results: null and empty texts go the way of their score; where no label teaches, no document is rejected. Of
+equal texts the row with the smallest id stays, rows without an id after all others. Of near copies the smallest id
+stays, rows without an id all do, rows of one id together. The mix repeats whole rows and takes none of size 0.
+Ids, also large ones beside nulls, and columns of any name are passed through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    docs, kept, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = kept.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if before:
+            kept.drop(before)
+        before = f"{k}-{name}"
     return docs
