@@ -232,5 +232,5 @@ def release_root(path: str | None, version: str, known: Sequence[str] = ("correc
 def knowledge_base(spark: SparkSession, root: str) -> DataFrame:
     """``module, text, allowed_modes, leakage_tier`` of the modules that ``index.json`` under ``root`` lists, with their files' texts."""
     index = spark.read.option("multiLine", True).schema("modules array<struct<module_id:string,path:string,allowed_modes:array<string>,leakage_tier:string>>").json(f"{root}/index.json").select(F.inline("modules"))
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).withColumn("file", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).withColumn("file", F.input_file_name())
     return index.join(files, F.endswith("file", F.concat(F.lit("/"), F.col("path"))), "left").select(F.col("module_id").alias("module"), F.col("value").alias("text"), "allowed_modes", "leakage_tier")

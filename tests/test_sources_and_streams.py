@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import pytest
@@ -72,10 +73,56 @@ def test_writers(spark, tmp_path):
     nested = spark.createDataFrame([(1, [1, 2])], "id int, v array<int>")
     writers.write_csv(nested, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True, escape='"').head().v == "[1,2]"
-    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
-    assert {(r.id, r.v) for r in writers.upserted(old, new, "id").collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    with pytest.raises(Exception, match="repeats"):
-        writers.upserted(old, new.union(new), "id").collect()
+    old, new = spark.createDataFrame([(2, "b", 0), (1, "a", 1)], "id int, v string, o int"), spark.createDataFrame([(3, "d", 0), (2, "c", 1)], "id int, v string, o int")
+    assert [(r.id, r.v) for r in writers.upserted(old, new, "id", "o").orderBy("o").collect()] == [(2, "c"), (1, "a"), (3, "d")]
+    with pytest.raises(Exception, match="not unique"):
+        writers.upserted(old, new.union(new), "id", "o").collect()
+
+
+def test_single_files_and_summaries(spark, tmp_path):
+    for text in ("one", "two é"):
+        writers.write_file(spark, f"file://{tmp_path}/x.txt", text)
+    assert (tmp_path / "x.txt").read_text() == "two é" and not (tmp_path / "x.txt.part").exists()
+    counts = spark.createDataFrame([("a|b", 2)], "rule string, n int")
+    assert writers.summary(counts, "Rules") == "# Rules\n\n| rule | n |\n|-|-|\n| a\\|b | 2 |\n"
+    writers.write_distribution(spark.createDataFrame([("b", 1), ("a", 2)], "k string, n int"), str(tmp_path / "d"), ["k"])
+    assert [f.read_text() for f in (tmp_path / "d").glob("*.csv")] == ["k,n\na,2\nb,1\n"]
+    rows = spark.createDataFrame([("test", 7, 0.2, 3.0)], "split string, id int, y double, p double")
+    assert tuple(writers.predictions(rows, "id", "y", "p").head()) == ("test", "7", 0.2, 3.0, 0, 1)
+    files = spark.createDataFrame([("a.csv", "1"), ("b.exe", "2"), ("c.csv", "3")], "path string, sha256 string")
+    listed = spark.createDataFrame([("a.csv", "1"), ("b.exe", "2"), ("d.csv", "4"), ("../e.csv", "5")], "path string, sha256 string")
+    found = {r.path: r.reason for r in writers.planned_copies(files, listed, ("csv",)).collect()}
+    assert found == {"a.csv": None, "b.exe": "kind", "c.csv": "not_listed", "d.csv": "not_there", "../e.csv": "unsafe_path"}
+
+
+def test_readers_of_large_arrays_types_and_members(spark, tmp_path):
+    items = [{"itemid": str(i), "text": "é" * 50 + "]," * (i % 3)} for i in range(40)] + [5, "x", [1, 2]]
+    put(tmp_path / "big.json", json.dumps(items, ensure_ascii=False))
+    with open(tmp_path / "big.json", "rb") as f:
+        assert list(readers.json_items(f, 7)) == items
+    got = {r.itemid: json.loads(r.record) for r in readers.json_array(spark, f"file://{tmp_path}/big.json", wanted=["3", "7", "none"]).collect()}
+    assert got == {"3": items[3], "7": items[7]}
+    assert readers.json_array(spark, f"file://{tmp_path}/big.json").count() == 43
+    with pytest.raises(ValueError, match="no JSON array"):
+        list(readers.json_items(io.BytesIO(b'{"a": 1}')))
+    with pytest.raises(ValueError, match="does not end"):
+        list(readers.json_items(io.BytesIO(b"[1, 2")))
+    typed = readers.inferred_csv(spark, put(tmp_path / "t.csv", 'a,"b,c",d,e\n1,2.5,true,x\nNA,3,false,\n'))
+    assert typed.dtypes == [("a", "bigint"), ("b,c", "double"), ("d", "boolean"), ("e", "string")] and [tuple(r) for r in typed.collect()] == [(1, 2.5, True, "x"), (None, 3.0, False, None)]
+    put(tmp_path / "m.json", '{"test": ["b", "a"], "train": ["c"]}')
+    assert [tuple(r) for r in readers.split_members(spark, str(tmp_path / "m.json"), "test").orderBy("place").collect()] == [("b", 0), ("a", 1)]
+    assert [r.itemid for r in readers.split_members(spark, put(tmp_path / "m.csv", "itemid,split\nz,train\ny,test\n"), "test").collect()] == ["y"]
+    put(tmp_path / "twice.json", '["a", "a"]')
+    with pytest.raises(Exception, match="repeated member"):
+        readers.split_members(spark, str(tmp_path / "twice.json"), "test").collect()
+    assert readers.release_root("/r/", "corrected") == "/r"
+    for bad in ((None, "corrected"), ("/r", "old")):
+        with pytest.raises(ValueError):
+            readers.release_root(*bad)
+    (tmp_path / "kb" / "m").mkdir(parents=True)
+    put(tmp_path / "kb" / "index.json", '{"modules": [{"module_id": "art3", "path": "m/a.md", "allowed_modes": ["strict"], "leakage_tier": "strict_safe"}, {"module_id": "none", "path": "m/z.md"}]}')
+    put(tmp_path / "kb" / "m" / "a.md", "# A\ntext\n")
+    assert {(r.module, r.text) for r in readers.knowledge_base(spark, f"file://{tmp_path}/kb").collect()} == {("art3", "# A\ntext\n"), ("none", None)}
 
 
 def test_merge_plan_and_resume(spark):
