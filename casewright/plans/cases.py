@@ -62,10 +62,12 @@ def split_of(date: Column) -> Column:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per case; ``articles`` is a sorted array, null where the case has no line items."""
-    totals = amounts(spark, sf_dir).groupBy("case_id").agg(
-        F.count("*").alias("n_applicants"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("amount4")).otherwise(0)).alias("y4"), F.countDistinct("l_suppkey").alias("n_applications"),
-    )
-    sets = articles(spark, sf_dir).groupBy("case_id").agg(F.array_sort(F.collect_set("article")).alias("articles"))
+    # one pass over the line items; a case's own items, suppliers and articles are few
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("article"))
+    totals = amounts(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("case_id").agg(
+        F.count("*").alias("n_applicants"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("amount4")).otherwise(0)).alias("y4"), F.size(F.collect_set("l_suppkey")).alias("n_applications"),
+        F.array_sort(F.collect_set("article")).alias("articles"),
+    ).withColumn("articles", F.when(F.size("articles") > 0, F.col("articles")))
     # nations and regions are dimensions of fixed size
     place = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -76,7 +78,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("importance"), F.col("o_orderstatus").alias("formation"), (F.col("o_orderpriority") == "1-URGENT").alias("is_grand"),
         F.col("c_acctbal").alias("acctbal"), split_of(date).alias("split"), view.alias("test_view"),
     )
-    rows = rows.join(totals, "case_id", "left").join(sets, "case_id", "left")
+    rows = rows.join(totals, "case_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return rows.select(
         "case_id", "judgment_date", "country", "region", "importance", "formation", "is_grand", "acctbal", zero("n_applicants"), zero("n_applications"),
