@@ -94,3 +94,47 @@ def clean_distribution(rows: DataFrame, keys: list[str], numbers: list[str], cou
     for k in keys:
         use = use & (F.coalesce(k, F.lit("")) != "")
     return out.filter(use).groupBy(*keys).agg(F.max_by(F.struct(count, *numbers), order).alias("_r")).select(*keys, "_r.*")
+
+
+
+
+def review_problems(reviews: DataFrame, cohort: DataFrame, checks: tuple[str, ...], rationales: tuple[str, ...], key: str = "case_id") -> DataFrame:
+    """``key, problem`` of reviewed records that may not be exported.
+
+    ``reviews``: key, split, amount, status, adjudicator, source_anchor, record_sha256, expected_sha256, checks (map of name
+    to status), zero_rationale, target_status, correction_rationale; ``cohort``: key, split, amount.
+    """
+    own = cohort.select(F.col(key).alias("_k"), F.col("split").alias("_split"), F.col("amount").alias("_amount"))
+    rows = reviews.join(own, F.col(key) == F.col("_k"), "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    passed = F.forall(F.array(*[F.lit(c) for c in checks]), lambda c: F.coalesce(F.element_at("checks", c).isin("pass", "not_applicable"), F.lit(False)))
+    changed = F.col("amount") != F.col("_amount")
+    rules = {
+        "outside_cohort": F.col("_k").isNull(), "split_changed": F.col("split") != F.col("_split"), "not_accepted": F.coalesce(F.col("status") != "accepted", F.lit(True)) | blank("adjudicator") | blank("source_anchor"),
+        "not_bound": ~F.col("record_sha256").eqNullSafe(F.col("expected_sha256")), "checks": ~passed | (F.size("checks") != len(checks)), "zero_without_rationale": (F.col("amount") == 0) & ~F.coalesce(F.col("zero_rationale").isin(*rationales), F.lit(False)),
+        "change_without_rationale": changed & (F.coalesce(F.col("target_status") != "corrected_amount", F.lit(True)) | blank("correction_rationale")),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
+    repeated = reviews.groupBy(key).count().filter("count > 1").select(key, F.lit("repeated").alias("problem"))
+    return rows.select(key, F.explode(found).alias("problem")).unionByName(repeated)
+
+
+def archive_differences(archive: bytes, files: dict[str, bytes]) -> list[str]:
+    """Members of a ZIP archive that differ from the given files, lack or add one, or have unsafe names."""
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(archive)) as z:
+        names = [n for n in z.namelist() if not n.endswith("/")]
+        unsafe = [n for n in names if n.startswith("/") or ".." in n.split("/")]
+        changed = [n for n in names if n in files and z.read(n) != files[n]]
+    return sorted({*unsafe, *changed, *(set(names) ^ set(files)), *(n for n in names if names.count(n) > 1)})
+
+
+def smoke(checks: dict[str, DataFrame]) -> DataFrame:
+    """``check, problems, ok`` of a suite: each check is a relation of problems and passes if it is empty."""
+    out = None
+    for name, found in checks.items():
+        one = found.agg(F.count("*").alias("problems")).select(F.lit(name).alias("check"), "problems", (F.col("problems") == 0).alias("ok"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import normalize as N
-from casewright.operators import controller, priors, ranking, records
+from casewright.operators import boosting, contract, controller, priors, ranking, records, sections
 from casewright.plans.cases import CASES_SQL, cases, table
 from casewright.plans.queries import _BAND_SQL, _TRAIN_SQL, _distribution_sql, query
 
@@ -173,3 +173,106 @@ def split_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("case_id") % 2
     written = F.when(F.col("split") == "train", F.when(i == 0, " TRAIN").otherwise("training")).when(F.col("split") == "validation", F.when(i == 0, "val").otherwise("dev")).otherwise("test")
     return cases(spark, sf_dir).groupBy(records.split_name(written).alias("split")).agg(F.count("*").alias("n"))
+
+
+# sections, stages and suites
+
+
+@query("""SELECT o_orderkey AS doc, CASE o_orderkey % 5 WHEN 0 THEN 'narrative_rich' WHEN 1 THEN 'summary_mode' WHEN 2 THEN 'law_only' WHEN 3 THEN 'conclusion_only' ELSE 'unknown' END AS profile,
+    CASE o_orderkey % 5 WHEN 0 THEN 'narrative_sections' WHEN 1 THEN 'summary_intro_plus_assessment' WHEN 2 THEN 'law_fallback' ELSE 'skip' END AS facts_mode, CASE o_orderkey % 5 WHEN 1 THEN 'summary_intro_fallback' WHEN 2 THEN 'law_and_relevant_law' ELSE 'empty' END AS reasoning_mode,
+    CASE o_orderkey % 5 WHEN 2 THEN 'heading' END AS method, CASE o_orderkey % 5 WHEN 0 THEN 'facts' WHEN 1 THEN 'summary_intro' WHEN 2 THEN 'law' WHEN 3 THEN 'operative' ELSE 'unclassified' END AS names FROM orders""")
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of sections made flat, merged by canonical name, and what kind of document they make (trees planted here)."""
+    i = F.col("doc") % 5
+    heading = F.when(i == 0, "THE FACTS").when(i == 1, "Subject matter of the case").when(i == 2, "THE LAW").when(i == 3, "For these reasons, the Court").otherwise("A")
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc")).select(
+        "doc", F.inline(F.array(
+            F.struct(F.array(F.lit(0), F.lit(1)).alias("path"), F.when(i == 2, "APPLICATION OF ARTICLE 41").otherwise("below").alias("content")), F.struct(F.array(F.lit(0)).alias("path"), heading.alias("content")),
+            F.struct(F.array(F.lit(0), F.lit(0), F.lit(2)).alias("path"), F.lit("deep").alias("content")),
+        )),
+    )
+    out = sections.profiled(sections.flattened(nodes, "doc"), "doc")
+    return out.select("doc", "profile", "facts_mode", "reasoning_mode", F.col("compensation_method").alias("method"), F.array_join("names", ",").alias("names"))
+
+
+@query("""SELECT c_custkey AS itemid, CASE WHEN c_custkey % 4 < 3 THEN 1990 + c_custkey % 30 END AS judgment_year, CASE WHEN c_custkey % 3 = 0 THEN 'Grand Chamber' WHEN c_custkey % 3 = 1 THEN 'Committee' END AS decision_body,
+    CASE WHEN c_custkey % 2 = 0 THEN '3;6' END AS violated, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 2 = 0 AND c_custkey % 5 > 0 THEN true WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 2 THEN NULL ELSE NULL END AS challenging,
+    concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'scl' END, CASE WHEN c_custkey % 5 = 0 THEN 'application_numbers' END, CASE WHEN c_custkey % 2 = 1 THEN 'violated_article_codes' END) AS missing FROM customer""")
+def core_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core rows with what they lack; the hard selector is unknown where neither arm is known to hold (metadata planted here)."""
+    i = F.col("itemid")
+    finding = lambda article: F.struct(F.lit("violation").alias("type"), article.cast("string").alias("article"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("itemid")).select(
+        "itemid", F.concat(F.lit("CASE OF X"), i.cast("string"), F.lit(" v. Y")).alias("docname"), F.when(i % 5 > 0, "12/34;56/78").alias("appno"), F.when(i % 3 == 0, "GRAND CHAMBER").when(i % 3 == 1, "COMMITTEE").alias("doctypebranch"), F.lit(None).cast("string").alias("originatingbody_name"),
+        F.when(i % 4 < 3, F.concat(F.lit("1/2/"), (1990 + i % 30).cast("string"))).alias("judgementdate"), F.array(F.lit("3")).alias("article"), F.when(i % 7 > 0, F.array(F.lit("a"))).alias("scl"), F.array(F.lit("N/A")).alias("representedby"),
+        F.array(finding(F.lit("3")), finding(F.when(i % 2 == 0, "6")), finding(F.lit("3"))).alias("conclusion"),
+    )
+    out = sections.core_rows(rows)
+    return out.select("itemid", F.col("judgment_year").cast("long").alias("judgment_year"), "decision_body", F.array_join("violated_articles", ";").alias("violated"), "challenging", F.array_join("missing_fields", ",").alias("missing"))
+
+
+@query(f"""WITH {CASES_SQL}, a AS (SELECT case_id, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_linenumber END) AS n FROM amounts GROUP BY case_id HAVING count(CASE WHEN l_returnflag <> 'N' THEN 1 END) > 0)
+    SELECT CASE WHEN c.n_applicants <= 2 OR a.n IS NULL THEN 'unknown' WHEN a.n = c.n_applicants - 2 THEN 'pass' WHEN a.n > c.n_applicants - 2 THEN 'over' ELSE 'under' END AS status, count(*) AS n FROM cases c LEFT JOIN a ON a.case_id = c.case_id GROUP BY 1""")
+def beneficiary_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether awards reach as many applicants as a case has (two fewer than its items here)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("index"), F.when(F.col("l_returnflag") == "N", "external").otherwise("applicant").alias("kind"))
+    counts = cases(spark, sf_dir).select("case_id", (F.col("n_applicants") - 2).alias("n_applicants"))
+    return sections.reconciled(rows, counts, "case_id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN 'complete' WHEN c_custkey % 3 = 1 THEN 'partial' ELSE 'failed' END AS overall, CASE WHEN c_custkey % 3 = 1 THEN 'c' WHEN c_custkey % 3 = 2 THEN 'b' END AS first_failed, count(*) AS n, CAST(sum(CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END) AS BIGINT) AS ran FROM customer GROUP BY 1, 2""")
+def staged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall states of cases from their stages (states planted here; a stage needs those before it)."""
+    i = F.col("k")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.inline(F.array(
+        F.struct(F.lit("b").alias("stage"), F.when(i % 3 == 2, "error").otherwise("error").alias("status"), F.lit(1).alias("attempt")), F.struct(F.lit("b").alias("stage"), F.when(i % 3 == 2, "error").otherwise("success").alias("status"), F.lit(2).alias("attempt")),
+        F.struct(F.lit("c").alias("stage"), F.when(i % 3 == 1, "error").otherwise("success").alias("status"), F.lit(1).alias("attempt")), F.struct(F.lit("de").alias("stage"), F.lit("success").alias("status"), F.lit(1).alias("attempt")),
+    )))
+    out = sections.staged(rows, "k", ("b", "c", "de"), {"c": ("b",), "de": ("c",)})
+    return out.groupBy("overall", "first_failed").agg(F.count("*").alias("n"), F.sum("ran").cast("long").alias("ran"))
+
+
+@query("""SELECT CASE k % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'refused' WHEN 2 THEN 'exhausted' ELSE 'success' END AS outcome, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END AS attempts, count(*) AS n, CAST(sum(CASE k % 4 WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 60 ELSE 30 END) AS BIGINT) AS tokens FROM (SELECT c_custkey AS k FROM customer) q GROUP BY 1, 2""")
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of retried calls, and the use of the attempts that count (histories planted here)."""
+    k = F.col("k")
+    error = lambda n: F.when((k % 4 == 0) & (n >= 1), None).when((k % 4 == 1) & (n == 2), "schema").when((k % 4 == 3) & (n == 2), None).otherwise("timeout")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
+    log = rows.select("k", "attempt", error(F.col("attempt")).alias("error"), (F.col("attempt") * 10).alias("tokens"))
+    return sections.attempts(log, "k").groupBy("outcome", F.col("attempts").cast("int").alias("attempts")).agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, unnest(list_filter([CASE WHEN c_custkey % 17 = 0 THEN 'outside_cohort' END, CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 5 = 0 THEN 'split_changed' END, CASE WHEN c_custkey % 7 = 0 THEN 'not_accepted' END, CASE WHEN c_custkey % 11 = 0 THEN 'not_bound' END, CASE WHEN c_custkey % 13 = 0 THEN 'checks' END,
+        CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'zero_without_rationale' END, CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 = 0 THEN 'change_without_rationale' END], lambda x: x IS NOT NULL)) AS problem FROM customer)
+    SELECT problem, count(*) AS n, min(k) AS first_id FROM p GROUP BY problem""")
+def review_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why reviewed records may not be exported, by reason (faults planted here)."""
+    i = F.col("case_id")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("train").alias("split"), F.when(i % 3 == 0, 0).otherwise(5).alias("amount"))
+    reviews = base.select(
+        "case_id", F.when(i % 5 == 0, "test").otherwise("train").alias("split"), F.when((i % 3 != 0) & (i % 4 == 0), 6).otherwise(F.col("amount")).alias("amount"), F.when(i % 7 != 0, "accepted").alias("status"), F.lit("A").alias("adjudicator"), F.lit("p. 1").alias("source_anchor"),
+        F.lit("h").alias("record_sha256"), F.when(i % 11 == 0, "g").otherwise("h").alias("expected_sha256"), F.create_map(F.lit("a"), F.lit("pass"), F.lit("b"), F.when(i % 13 == 0, "open").otherwise("not_applicable")).alias("checks"),
+        F.when(i % 2 != 0, "no_claim").alias("zero_rationale"), F.lit("retained_label").alias("target_status"), F.lit("").alias("correction_rationale"),
+    )
+    found = contract.review_problems(reviews, base.filter(i % 17 != 0), ("a", "b"), ("no_claim",))
+    return found.groupBy("problem").agg(F.count("*").alias("n"), F.min("case_id").alias("first_id"))
+
+
+@query(f"""WITH {CASES_SQL} SELECT 'dates' AS check, count(CASE WHEN judgment_date IS NULL THEN 1 END) AS problems, count(CASE WHEN judgment_date IS NULL THEN 1 END) = 0 AS ok FROM cases UNION ALL SELECT 'articles', count(CASE WHEN n_articles = 0 THEN 1 END), count(CASE WHEN n_articles = 0 THEN 1 END) = 0 FROM cases
+    UNION ALL SELECT 'exclusions', 0, true""")
+def smoke_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite of checks of a release, each passed if it finds nothing."""
+    view = cases(spark, sf_dir)
+    none = view.filter("split = 'train'").join(view.filter("split != 'train'").select("case_id"), "case_id", "left_semi")
+    return contract.smoke({"dates": view.filter("judgment_date is null"), "articles": view.filter("n_articles = 0"), "exclusions": none})
+
+
+@query()
+def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test cases predicted by boosted trees, the better of two candidates on validation cases. No SQL can fit them; tests hold them to a constant's error."""
+    view = cases(spark, sf_dir).withColumn("grand", F.col("is_grand").cast("double"))
+    features = ["n_applicants", "n_applications", "n_articles", "grand"]
+    train, validation = view.filter("split = 'train'"), view.filter("split = 'validation'")
+    candidates = {"shallow": {"maxDepth": 2, "maxIter": 10}, "deep": {"maxDepth": 5, "maxIter": 10}}
+    name, _ = boosting.chosen(train, validation, features, candidates)
+    return boosting.boosted(train, view.filter("split = 'test'"), features, params=candidates[name]).select("case_id", "y", F.round("prediction", 4).alias("prediction"), F.lit(name).alias("candidate"))

@@ -33,7 +33,12 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_boosted_trees_beat_a_constant(spark, sf_dir):
+    rows = QUERIES["boosted_predictions"](spark, sf_dir).toPandas()
+    assert len(rows) and (rows["prediction"] >= 0).all() and (rows["prediction"] - rows["y"]).abs().mean() < rows["y"].abs().mean()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
