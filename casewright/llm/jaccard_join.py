@@ -14,7 +14,7 @@ Candidates are verified on the sets themselves. Not all pairs in a group of near
 only what the components need: first each class with the most central class it shares a segment with (the
 one whose segments are shared most), then what is left between different components, by bitmap distance,
 nearest first, and at last every pair of different components whose bitmaps allow a link. That is done on one
-key in ``FIRST_KEYS`` and then on the others, where pairs that share a key of the first turn are passed over: a
+sixth of the keys, then on a third and on the others, where pairs that share a key of a turn before are passed over: a
 pair of near copies shares very many keys and would be found at each. So no link that would join two components
 is lost, and no candidates are capped.
 
@@ -42,8 +42,8 @@ from casewright.llm.components import components
 
 #: Ids broadcast at most (16 bytes each and the table around them).
 BROADCAST_IDS = 500_000
-#: One key in so many belongs to the first turn; pairs that share several keys are met there, and seldom again.
-FIRST_KEYS = 6
+#: Turns: the keys up to which share of twelve belong to each; pairs that share several keys are met in an early one, and not again.
+TURNS = (2, 6, 12)
 #: Rows of a block of one key's classes that one task compares.
 BLOCK = 4096
 
@@ -335,9 +335,11 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     labels = components(links, ws, "central-comps")
 
     # what is left between components, a few of the keys first (most pairs share several): the nearest, then all
-    early = F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0
-    done = shared.filter(early).groupBy("node").agg(F.collect_list("key").alias("done"))  # no more than a text's own segments
-    for turn, (of, known) in enumerate(((early, maps.withColumn("done", F.lit(None).cast("array<long>"))), (~early, maps.join(done, "node", "left")))):
+    share = F.pmod(F.xxhash64("key"), F.lit(TURNS[-1]))
+    for turn, (low, high) in enumerate(zip((0, *TURNS), TURNS, strict=False)):
+        of = (share >= low) & (share < high)
+        done = shared.filter(share < low).groupBy("node").agg(F.collect_list("key").alias("done"))  # no more than a text's own segments
+        known = maps.join(done, "node", "left") if turn else maps.withColumn("done", F.lit(None).cast("array<long>"))
         keyed = shared.filter(of)
         found = ws.keep(_across(keyed, labels, known, sizes, nearest=True), f"nearest{turn}")
         if not found.head(1):
