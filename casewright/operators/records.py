@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.functions.normalize import strip
+from casewright.functions.normalize import country, strip
 
 #: Fixed names: splits as written, and columns that are never inputs.
 SPLIT_ALIASES = {"train": "train", "training": "train", "val": "validation", "valid": "validation", "validation": "validation", "dev": "validation", "test": "test"}
@@ -297,3 +297,32 @@ def states(parts: dict[str, DataFrame], key: str) -> DataFrame:
         one = df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
         out = one if out is None else out.join(one, key, "left")
     return out
+
+
+def route_state(cases: DataFrame, mode: str, key: str = "case_id") -> DataFrame:
+    """What decides a case's route through the modules: mode, articles, limb (of article 6 only), formation, importance and country."""
+    from casewright.functions import extract as E
+
+    limb = F.when(F.array_contains("articles", "6"), E.limb(F.coalesce("facts", F.lit(""))))
+    return cases.select(
+        key, F.lit(mode).alias("mode"), F.array_sort(F.array_distinct("articles")).alias("articles"), limb.alias("limb"), F.coalesce(limb == "ambiguous", F.lit(False)).alias("limb_ambiguous"), E.formation(F.col("branch")).alias("formation"),
+        F.col("importance").try_cast("int").alias("importance"), country(F.col("country")).alias("country"),
+    )
+
+
+def packets(cases: DataFrame, visibility: dict[str, Sequence[str]], mode: str, key: str = "case_id") -> DataFrame:
+    """``key, packet, n_fields``: the fields that a mode may see as JSON with sorted names; fields not listed, and names that give the outcome away, never are."""
+    if mode not in visibility:
+        raise ValueError(f"unknown mode {mode}")
+    seen = sorted(c for c in visibility[mode] if c in cases.columns and c != key)
+    reject_names(seen)
+    return cases.select(key, F.to_json(F.struct(*seen)).alias("packet"), sum(((F.coalesce(strip(F.col(c).cast("string")), F.lit("")) != "").cast("int") for c in seen), F.lit(0)).alias("n_fields"))
+
+
+def result_rows(results: DataFrame, key: str, schema: str, lists: Sequence[str] = (), flags: Sequence[str] = ()) -> DataFrame:
+    """Results of a model (``key, result`` as JSON text) as typed rows: lists and flags however they were written; ``problem`` names broken ones."""
+    read = F.from_json("result", schema)
+    out = results.select(key, read.alias("r"), F.when(F.col("result").isNull() | F.from_json("result", "map<string,string>").isNull(), "not_an_object").alias("problem"))
+    fields = [f for f in results.sparkSession.createDataFrame([], schema).columns]
+    pick = [string_list(F.col(f"r.{c}")).alias(c) if c in lists else truth(F.col(f"r.{c}")).alias(c) if c in flags else F.col(f"r.{c}").alias(c) for c in fields]
+    return out.select(key, *pick, "problem")

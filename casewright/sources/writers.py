@@ -112,3 +112,13 @@ def planned_copies(files: DataFrame, manifest: DataFrame, allowed: tuple[str, ..
     for b in blocked:
         reason = reason.when(F.contains("path", F.lit(b)), "blocked")
     return rest.select("path", reason.alias("reason")).unionByName(bad)
+
+
+def write_traces(traces: DataFrame, answers: DataFrame, path: str, key: str) -> None:
+    """Traces and predictions of a run, each as JSON lines; a prediction without a trace, or a trace without one, stops the plan."""
+    both = traces.select(key).distinct().withColumn("_t", F.lit(True)).join(answers.select(key).distinct().withColumn("_a", F.lit(True)), key, "full_outer")
+    gap = both.filter("_t is null or _a is null").agg(F.count("*").alias("n"), F.min(F.col(key).cast("string")).alias("first")).head()
+    if gap["n"]:
+        raise ValueError(f"{gap['n']} cases have only a trace or only a prediction, first {gap['first']}")
+    write_jsonl(traces, f"{path}/traces")
+    write_jsonl(answers, f"{path}/predictions")

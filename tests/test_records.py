@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from casewright.functions import extract as E
 from casewright.functions import text as X
-from casewright.operators import blocks, contract, encode, joins, records
+from casewright.operators import blocks, boosting, contract, encode, joins, records, retrieval, sections
+from casewright.sources import writers
 from casewright.streaming import harvest
 
 
@@ -128,3 +129,43 @@ def test_blocks_are_many_and_small(spark, monkeypatch):
 
     got = {(r.target_id, r.ref_id) for r in retrieval.eligible(rows, rows, (40, 40)).collect()}
     assert got == {(i, j) for i in range(40) for j in range(40) if i % 4 and j % 4 and i != j and j % 5 < i % 5}
+
+
+def test_routes_packets_and_results(spark, tmp_path):
+    rows = frame(spark, [(1, ["6", "3", "6"], "a criminal conviction", "GRANDCHAMBER", "2", "nor;swe"), (2, ["8"], None, None, "x", None)], "case_id int, articles array<string>, facts string, branch string, importance string, country string")
+    got = {r.case_id: r for r in records.route_state(rows, "strict").collect()}
+    assert (got[1].articles, got[1].limb, got[1].formation, got[1].importance, got[1].country) == (["3", "6"], "criminal", "Grand_Chamber", 2, "NOR") and (got[2].limb, got[2].limb_ambiguous, got[2].importance) == (None, False, None)
+    seen = {r.case_id: (r.packet, r.n_fields) for r in records.packets(rows, {"blind": ["facts", "country", "none"]}, "blind").collect()}
+    assert seen == {1: ('{"country":"nor;swe","facts":"a criminal conviction"}', 2), 2: ("{}", 0)}
+    with pytest.raises(ValueError, match="unknown mode"):
+        records.packets(rows, {}, "blind")
+    with pytest.raises(ValueError, match="forbidden"):
+        records.packets(rows.withColumn("award", F.lit(1)), {"m": ["award"]}, "m")
+    results = frame(spark, [(1, '{"names": "[\\"a\\", \\"a\\"]", "granted": "Yes", "n": 3}'), (2, "[]"), (3, None)], "k int, result string")
+    out = {r.k: (r.names, r.granted, r.n, r.problem) for r in records.result_rows(results, "k", "names string, granted string, n int", ["names"], ["granted"]).collect()}
+    assert out == {1: (["a"], True, 3, None), 2: ([], None, None, "not_an_object"), 3: ([], None, None, "not_an_object")}
+    traces, answers = frame(spark, [(1, "a"), (1, "b")], "k int, action string"), frame(spark, [(1, 2.0)], "k int, p double")
+    writers.write_traces(traces, answers, str(tmp_path / "run"), "k")
+    assert spark.read.json(str(tmp_path / "run" / "traces")).count() == 2
+    with pytest.raises(ValueError, match="first 7"):
+        writers.write_traces(traces, frame(spark, [(1, 2.0), (7, 1.0)], "k int, p double"), str(tmp_path / "other"), "k")
+
+
+def test_sections_stages_and_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    assert one(spark, sections.first_useful(F.lit("THE LAW ON ALL OF THE MATTERS THAT WERE LEFT OUT HERE"), F.lit(None), F.lit("the applicant was born in a town by the sea")))[0].startswith("the applicant")
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a", "1")
+        z.writestr("../b", "2")
+        z.writestr("c", "3")
+    assert contract.archive_differences(data.getvalue(), {"a": b"1", "c": b"4", "d": b"5"}) == ["../b", "c", "d"]
+    cases = frame(spark, [(1, "train", 2.0, 0.0), (2, "test", 1.0, 5.0)], "case_id int, split string, f double, y double")
+    boosting.prepared(spark, cases, ["f"], str(tmp_path / "x"))
+    assert spark.read.parquet(str(tmp_path / "x" / "records")).filter("split = 'test'").head().record == '{"f":1.0}'
+    with pytest.raises(ValueError, match="forbidden"):
+        boosting.prepared(spark, cases.withColumn("award", F.lit(1)), ["award"], str(tmp_path / "z"))
+    vectors = {r.id: r.embedding for r in retrieval.hashed_vectors(frame(spark, [(1, "a b b"), (2, "B a b"), (3, "z")], "id int, text string"), "id", "text", 16).collect()}
+    assert vectors[1] == pytest.approx(vectors[2]) and sum(v * v for v in vectors[3]) == pytest.approx(1)

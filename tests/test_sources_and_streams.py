@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.sources import readers, writers
+from casewright.sources import readers, web, writers
 from casewright.streaming import ingest
 
 
@@ -148,3 +148,19 @@ def test_streams_agree_with_batches(spark, tmp_path, sf_dir):
     path = ingest.upsert_stream(read(), "user_id", "ts", str(tmp_path / "v"), str(tmp_path / "vc"))
     want = events.groupBy("user_id").agg(F.max("ts").alias("ts"))
     assert spark.read.parquet(path).select("user_id", "ts").exceptAll(want).count() == 0
+
+
+def test_pages_and_downloads(spark, tmp_path):
+    rows = [{"itemid": f"001-{i}", "rank": i * 3, "title": "é"} for i in range(5)]
+    for start in (0, 2, 4):
+        put(tmp_path / f"p{start}.json", json.dumps({"resultcount": 5, "results": [{"columns": r} for r in rows[start : start + 2]]}))
+    got = web.paged(spark, f"file://{tmp_path}/p{{start}}.json", 2).orderBy("place").collect()
+    assert [(r.itemid, r.place, r.total) for r in got] == [(f"001-{i}", i, 5) for i in range(5)] and json.loads(got[0].record) == {"itemid": "001-0", "title": "é"}
+    for bad in (b'{"message": "x"}', b'{"resultcount": true, "results": []}', b'{"resultcount": 1, "results": [{"columns": {}}]}'):
+        with pytest.raises(ValueError):
+            web.page(bad)
+    put(tmp_path / "d.html", "<!DOCTYPE html><html></html>")
+    put(tmp_path / "e.html", "")
+    wanted = spark.createDataFrame([("a", f"file://{tmp_path}/d.html"), ("b", f"file://{tmp_path}/e.html"), ("c", f"file://{tmp_path}/none.html")], "itemid string, url string")
+    assert {(r.itemid, r.status, r.bytes) for r in web.downloads(wanted, "html").collect()} == {("a", "success", 28), ("b", "invalid", 0), ("c", "failed", 0)}
+    assert web.valid_document(b"PK", "docx") and web.valid_document(b"x", "pdf") == "unknown kind pdf"
