@@ -147,13 +147,13 @@ def case_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CASES_SQL}, r AS (SELECT region, country, case_id, y, {_BAND_SQL} AS band, CASE WHEN n_applications <= 1 THEN '1' WHEN n_applications <= 5 THEN '2-5' ELSE '6-20' END AS own FROM cases WHERE split = 'train'),
-    t AS (SELECT case_id, country, {_BAND_SQL} AS band, CASE WHEN n_applications <= 1 THEN '1' WHEN n_applications <= 5 THEN '2-5' ELSE '6-20' END AS own FROM cases WHERE split = 'test' AND case_id % 200 = 0),
+    t AS (SELECT case_id, country, {_BAND_SQL} AS band, CASE WHEN n_applications <= 1 THEN '1' WHEN n_applications <= 5 THEN '2-5' ELSE '6-20' END AS own FROM cases WHERE split = 'test' AND case_id % 50 = 0),
     p AS (SELECT t.case_id AS target_id, r.case_id AS ref_id, row_number() OVER (PARTITION BY t.case_id ORDER BY CASE WHEN r.country = t.country THEN 1 ELSE 0 END DESC, CASE WHEN r.own = t.own THEN 1 ELSE 0 END DESC, r.y DESC, r.case_id) AS rank FROM t JOIN r ON r.band = t.band)
     SELECT target_id, ref_id, rank FROM p WHERE rank <= 8""")
 def same_band_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training cases in the band of a target's applicants: the same country first, then the same band of applications, then by amount.
 
-    Targets are the test cases whose id is divisible by 200. References are cut to eight for each class that a
+    Targets are the test cases whose id is divisible by 50. References are cut to eight for each class that a
     target can ask for before the join, so what is joined does not grow with the references.
     """
     view = cases(spark, sf_dir).withColumn("band", N.count_band(F.col("n_applicants"))).withColumn("own", N.count_band(F.col("n_applications")))
@@ -161,7 +161,7 @@ def same_band_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("y"), F.asc("ref_id")]
     # the best eight of (band, country, own), of which eight of every class together are the best of any coarser class
     few = ranking.top_k(refs, ["band", "r_country", "r_own"], order, 8, "_r").drop("_r")
-    t = view.filter("split = 'test' and case_id % 200 = 0").select(F.col("case_id").alias("target_id"), "country", "band", "own")
+    t = view.filter("split = 'test' and case_id % 50 = 0").select(F.col("case_id").alias("target_id"), "country", "band", "own")
     rows = t.join(few, "band")
     out = ranking.top_k(rows, ["target_id"], [F.desc((F.col("r_country") == F.col("country")).cast("int")), F.desc((F.col("r_own") == F.col("own")).cast("int")), *order], 8)
     return out.select("target_id", "ref_id", F.col("rank").cast("long").alias("rank"))
