@@ -105,7 +105,7 @@ class Transducer:
             low = bounds[-1]
             most = max(8, int(lengths[order[low]] * 1.5))
             high = int(np.searchsorted(lengths[order], most, side="right"))
-            bounds.append(min(high, low + max(1, 2_000_000 // most)))
+            bounds.append(min(high, low + max(1, 600_000 // most)))
         for low, high in zip(bounds, bounds[1:], strict=False):
             self._together(order[low:high], flat, starts, words, out, fallback)
         return out, fallback
@@ -213,9 +213,9 @@ _caches: dict[str, WordCache] = {}
 
 def encode_texts(texts: list[str], model_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after another, and how many each has."""
-    machine, cache = transducer(model_path), _caches.setdefault(model_path, WordCache(500_000))
+    machine, cache = transducer(model_path), _caches.setdefault(model_path, WordCache(300_000))
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for part in portions(texts, 4 << 20):
+    for part in portions(texts, 3 << 20):
         cut = [pre_tokens(machine.model.normalised(t)) for t in texts[part]]
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         codes, words = numbered([w for row in cut for w in row])
@@ -235,7 +235,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
             texts = [t or "" for t in column]
-            for part in portions(texts, 4 << 20):
+            for part in portions(texts, 3 << 20):
                 some = texts[part]
                 flat, n = encode_texts(some, model_path)
                 back = transducer(model_path).decode(flat, n)
