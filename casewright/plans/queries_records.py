@@ -98,13 +98,13 @@ def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.array_join(records.json_problems(text, schema), ";").alias("problems")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag, CASE event_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'one' ELSE '' END AS items FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' ELSE '' END AS flag, CASE event_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'one' ELSE '' END AS items FROM events""")
 def coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yes and no, and lists of texts, however they were written (planted here)."""
     i = F.col("event_id")
     flag = F.when(i % 5 == 0, " Yes").when(i % 5 == 1, "FALSE").when(i % 5 == 2, "1").otherwise("maybe")
     items = F.when(i % 3 == 0, '["a", " ", "b", "a"]').when(i % 3 == 1, " one ")
-    return table(spark, sf_dir, "events").select("event_id", records.truth(flag).alias("flag"), F.array_join(records.string_list(items), "|").alias("items"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(records.truth(flag).cast("string"), F.lit("")).alias("flag"), F.array_join(records.string_list(items), "|").alias("items"))
 
 
 @query(f"""WITH {CASES_SQL}, r AS (SELECT a.case_id, l_returnflag AS head, l_linenumber AS o, l_linestatus = 'F' AS granted, CASE WHEN quantity % 2 = 0 THEN 'GBP' ELSE 'EUR' END AS cur, CASE WHEN quantity % 3 = 0 THEN quantity END AS orig, CASE WHEN quantity % 5 <> 0 THEN quantity END AS eur FROM amounts a),
@@ -195,8 +195,8 @@ def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "profile", "facts_mode", "reasoning_mode", F.col("compensation_method").alias("method"), F.array_join("names", ",").alias("names"))
 
 
-@query("""SELECT c_custkey AS itemid, CASE WHEN c_custkey % 4 < 3 THEN 1990 + c_custkey % 30 END AS judgment_year, CASE WHEN c_custkey % 3 = 0 THEN 'Grand Chamber' WHEN c_custkey % 3 = 1 THEN 'Committee' END AS decision_body,
-    CASE WHEN c_custkey % 2 = 0 THEN '3;6' END AS violated, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 2 = 0 AND c_custkey % 5 > 0 THEN true WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 2 THEN NULL ELSE NULL END AS challenging,
+@query("""SELECT c_custkey AS itemid, CASE WHEN c_custkey % 4 < 3 THEN 1990 + c_custkey % 30 ELSE 0 END AS judgment_year, CASE WHEN c_custkey % 3 = 0 THEN 'Grand Chamber' WHEN c_custkey % 3 = 1 THEN 'Committee' END AS decision_body,
+    CASE WHEN c_custkey % 2 = 0 THEN '3;6' END AS violated, CASE WHEN c_custkey % 3 = 0 THEN 'true' WHEN c_custkey % 2 = 0 AND c_custkey % 5 > 0 THEN 'true' ELSE 'unknown' END AS challenging,
     concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'scl' END, CASE WHEN c_custkey % 5 = 0 THEN 'application_numbers' END, CASE WHEN c_custkey % 2 = 1 THEN 'violated_article_codes' END) AS missing FROM customer""")
 def core_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core rows with what they lack; the hard selector is unknown where neither arm is known to hold (metadata planted here)."""
@@ -208,7 +208,7 @@ def core_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(finding(F.lit("3")), finding(F.when(i % 2 == 0, "6")), finding(F.lit("3"))).alias("conclusion"),
     )
     out = sections.core_rows(rows)
-    return out.select("itemid", F.col("judgment_year").cast("long").alias("judgment_year"), "decision_body", F.array_join("violated_articles", ";").alias("violated"), "challenging", F.array_join("missing_fields", ",").alias("missing"))
+    return out.select("itemid", F.coalesce("judgment_year", F.lit(0)).cast("long").alias("judgment_year"), "decision_body", F.array_join("violated_articles", ";").alias("violated"), F.coalesce(F.col("challenging").cast("string"), F.lit("unknown")).alias("challenging"), F.array_join("missing_fields", ",").alias("missing"))
 
 
 @query(f"""WITH {CASES_SQL}, a AS (SELECT case_id, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_linenumber END) AS n FROM amounts GROUP BY case_id HAVING count(CASE WHEN l_returnflag <> 'N' THEN 1 END) > 0)

@@ -62,7 +62,7 @@ def target_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT l_orderkey AS case_id, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT l_orderkey AS case_id, CAST(round(sum(l_quantity)) AS BIGINT) AS units FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
     m AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS state FROM orders WHERE o_orderkey % 5 <> 0)
-    SELECT o_orderkey AS case_id, c_mktsegment AS party_segment, p.n AS person_n, a.units AS allocation_units, m.state AS manifest_state, c_custkey IS NOT NULL AS has_party, p.case_id IS NOT NULL AS has_person, a.case_id IS NOT NULL AS has_allocation, m.case_id IS NOT NULL AS has_manifest
+    SELECT o_orderkey AS case_id, c_mktsegment AS party_segment, coalesce(p.n, 0) AS person_n, coalesce(a.units, 0) AS allocation_units, m.state AS manifest_state, c_custkey IS NOT NULL AS has_party, p.case_id IS NOT NULL AS has_person, a.case_id IS NOT NULL AS has_allocation, m.case_id IS NOT NULL AS has_manifest
     FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN p ON p.case_id = o_orderkey LEFT JOIN a ON a.case_id = o_orderkey LEFT JOIN m ON m.case_id = o_orderkey""")
 def export_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with party, persons, allocations and manifest row, each joined on a key checked to be unique."""
@@ -71,7 +71,7 @@ def export_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     party = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"))
     paid = lines.filter("l_returnflag = 'R'").groupBy("case_id").agg(F.round(F.sum("l_quantity")).cast("long").alias("units"))
     manifest = table(spark, sf_dir, "orders").filter("o_orderkey % 5 != 0").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("state"))
-    return joins.star(base, [(party, ["custkey"], "party"), (lines.groupBy("case_id").agg(F.count("*").alias("n")), ["case_id"], "person"), (paid, ["case_id"], "allocation"), (manifest, ["case_id"], "manifest")]).drop("custkey")
+    return joins.star(base, [(party, ["custkey"], "party"), (lines.groupBy("case_id").agg(F.count("*").alias("n")), ["case_id"], "person"), (paid, ["case_id"], "allocation"), (manifest, ["case_id"], "manifest")]).drop("custkey").fillna(0, ["person_n", "allocation_units"])
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, nullif(trim(c_name), '') AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 11 <> 0),
@@ -144,12 +144,12 @@ _SOURCE_SQL = "CASE WHEN country = 'NATION_3' AND case_id % 10 = 0 THEN NULL WHE
 @query(f"""WITH {CASES_SQL}, s AS (SELECT country, {_SOURCE_SQL} AS source FROM cases WHERE split = 'train'),
     b AS (SELECT country, count(*) AS sample_count, CASE WHEN NOT bool_and(coalesce(source, '') <> '') THEN 'unavailable_missing_y_source' WHEN NOT bool_and(source IN ('zero_reason', 'amount_direct', 'proxy_keep72')) THEN 'unavailable_unrecognized_y_source_values' ELSE 'available_from_supplied_y_source' END AS status,
                  count(CASE WHEN source = 'zero_reason' THEN 1 END) AS z, count(CASE WHEN source = 'amount_direct' THEN 1 END) AS a, count(CASE WHEN source = 'proxy_keep72' THEN 1 END) AS p FROM s GROUP BY country)
-    SELECT country, sample_count, status, CASE WHEN status LIKE 'avail%' THEN z END AS zero_reason_count, CASE WHEN status LIKE 'avail%' THEN a END AS amount_direct_count, CASE WHEN status LIKE 'avail%' THEN p END AS proxy_keep72_count FROM b""")
+    SELECT country, sample_count, status, CASE WHEN status LIKE 'avail%' THEN z ELSE -1 END AS zero_reason_count, CASE WHEN status LIKE 'avail%' THEN a ELSE -1 END AS amount_direct_count, CASE WHEN status LIKE 'avail%' THEN p ELSE -1 END AS proxy_keep72_count FROM b""")
 def prior_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the labels of each country's bucket come from (sources planted here)."""
+    """Where the labels of each country's bucket come from (sources planted here); counts are -1 where not all are known."""
     rows = cases(spark, sf_dir).filter("split = 'train'").withColumn("source", F.expr(_SOURCE_SQL))
     status, counts = contract.provenance(F.col("source"))
-    return rows.groupBy("country").agg(F.count("*").alias("sample_count"), status.alias("status"), *[c.alias(f"{s}_count") for s, c in zip(contract.SOURCES, counts, strict=True)])
+    return rows.groupBy("country").agg(F.count("*").alias("sample_count"), status.alias("status"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(f"{s}_count") for s, c in zip(contract.SOURCES, counts, strict=True)])
 
 
 @query(f"""WITH {_TRAIN_SQL}, d AS ({_distribution_sql('train_articles', 'article')}) SELECT article, train_count AS sample_count, zero_rate, median, iqr, p10, p90 FROM d""")

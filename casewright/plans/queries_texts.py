@@ -32,12 +32,12 @@ def _operative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS i, CAST(CAST(round(l_extendedprice) AS BIGINT) AS DOUBLE) AS a FROM lineitem)
     SELECT l_orderkey, l_linenumber, CASE i WHEN 0 THEN a WHEN 3 THEN 0.0e0 END AS non_pecuniary, CASE i WHEN 1 THEN a END AS pecuniary, CASE i WHEN 0 THEN 1500.0e0 WHEN 2 THEN a END AS costs, CASE i WHEN 0 THEN 1000.0e0 WHEN 2 THEN a END AS net_costs,
-           CASE i WHEN 0 THEN 90 END AS deadline_days, CASE i WHEN 0 THEN 'unanimously' WHEN 1 THEN '6 votes to 1' ELSE 'unknown' END AS vote, CASE i WHEN 1 THEN 'marginal lending rate of the European Central Bank plus three points' END AS interest, i = 3 AS satisfaction,
+           CASE i WHEN 0 THEN 90 ELSE 0 END AS deadline_days, CASE i WHEN 0 THEN 'unanimously' WHEN 1 THEN '6 votes to 1' ELSE 'unknown' END AS vote, CASE i WHEN 1 THEN 'marginal lending rate of the European Central Bank plus three points' END AS interest, i = 3 AS satisfaction,
            CASE WHEN i < 4 THEN 'high' ELSE 'none' END AS quality FROM r""")
 def deterministic_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Awards read from operative texts; the SQL states what the texts were put together from."""
     rows = _operative(spark, sf_dir).withColumn("w", E.awards(F.col("text")))
-    return rows.select("l_orderkey", "l_linenumber", *[F.col(f"w.{c}").alias(c) for c in ("non_pecuniary", "pecuniary", "costs", "net_costs", "deadline_days", "vote", "interest", "satisfaction", "quality")])
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce("w.deadline_days", F.lit(0)).alias("deadline_days"), *[F.col(f"w.{c}").alias(c) for c in ("non_pecuniary", "pecuniary", "costs", "net_costs", "vote", "interest", "satisfaction", "quality")])
 
 
 @query("""SELECT l_suppkey % 5 AS form, count(*) AS n, CAST(sum(CASE l_suppkey % 5 WHEN 0 THEN CASE WHEN round(l_extendedprice) = 1500 THEN 1 ELSE 2 END WHEN 1 THEN 1 WHEN 4 THEN 1 ELSE 0 END) AS BIGINT) AS mentions, sum(CASE WHEN l_suppkey % 5 = 4 THEN CAST(CAST(round(l_extendedprice) AS BIGINT) AS DOUBLE) ELSE 0 END) AS claimed FROM lineitem GROUP BY 1""")
@@ -69,7 +69,7 @@ def applicant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, lower(text || ' ' || list_extract(['The prosecutor asked', 'a civil matter', 'compensation after conviction', 'legal aid was refused by the Supreme Court', 'a pilot-judgment'], CAST(doc_id % 5 AS BIGINT) + 1)) AS x FROM documents)
-    SELECT doc_id, CASE WHEN c AND NOT v THEN 'criminal' WHEN v AND NOT c THEN 'civil' ELSE 'ambiguous' END AS limb, CASE WHEN regexp_matches(x, '\\bpilot(-|\\s)?judg') THEN true END AS pilot_judgment, CASE WHEN regexp_matches(x, '\\blegal aid\\b') THEN true END AS legal_aid,
+    SELECT doc_id, CASE WHEN c AND NOT v THEN 'criminal' WHEN v AND NOT c THEN 'civil' ELSE 'ambiguous' END AS limb, regexp_matches(x, '\\bpilot(-|\\s)?judg') AS pilot_judgment, regexp_matches(x, '\\blegal aid\\b') AS legal_aid,
            concat_ws(',', CASE WHEN regexp_matches(x, '\\bconstitutional court\\b') THEN 'constitutional' END, CASE WHEN regexp_matches(x, '\\bsupreme court\\b') THEN 'supreme' END) AS courts
     FROM (SELECT *, regexp_matches(x, 'criminal|prosecutor|conviction|sentence|defence') AS c, regexp_matches(x, 'civil|compensation|administrative|labour|employment') AS v FROM t) y""".replace("\\\\", "\\"))
 def fact_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def fact_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = ("The prosecutor asked", "a civil matter", "compensation after conviction", "legal aid was refused by the Supreme Court", "a pilot-judgment")
     text = F.concat(F.col("text"), F.lit(" "), F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.col("doc_id") % 5 + 1).cast("int")))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", E.limb(F.col("text")).alias("limb"), E.hints(F.col("text")).alias("h"))
-    return rows.select("doc_id", "limb", "h.pilot_judgment", "h.legal_aid", F.array_join(F.filter("h.courts", lambda c: c.isin("constitutional", "supreme")), ",").alias("courts"))
+    return rows.select("doc_id", "limb", *[F.coalesce(f"h.{c}", F.lit(False)).alias(c) for c in ("pilot_judgment", "legal_aid")], F.array_join(F.filter("h.courts", lambda c: c.isin("constitutional", "supreme")), ",").alias("courts"))
 
 
 @query(f"""WITH {CASES_SQL}, b AS (SELECT case_id, formation, CASE importance WHEN '1-URGENT' THEN 'GRANDCHAMBER' WHEN '2-HIGH' THEN 'Grand Chamber' WHEN '5-LOW' THEN 'committee' WHEN '3-MEDIUM' THEN 'CHAMBER' END AS branch, CASE formation WHEN 'F' THEN 'Court (First Section)' WHEN 'P' THEN 'Single judge formation' END AS name FROM cases)
@@ -97,12 +97,12 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", E.person_name(F.concat(F.lit("Ms. ANN "), F.col("c_mktsegment"))).alias("normal"), E.title_case(F.concat(F.lit("ANN "), F.col("c_mktsegment"), F.lit("  de"))).alias("title"))
 
 
-@query("""SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
+@query("""SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE '' END AS day FROM orders""")
 def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in the forms that sources write, read back; an unknown form gives none."""
     d, i = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
     written = F.when(i == 0, F.date_format(d, "dd/MM/yyyy HH:mm:ss")).when(i == 1, F.date_format(d, "dd/MM/yyyy")).when(i == 2, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(i == 3, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" "))).otherwise(F.date_format(d, "MMM yyyy"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), E.any_timestamp(written).cast("date").alias("day"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.coalesce(E.any_timestamp(written).cast("date").cast("string"), F.lit("")).alias("day"))
 
 
 @query("""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN 'III. APPLICATION OF ARTICLE 41 OF THE CONVENTION' || chr(10) || 'end' WHEN 1 THEN 'just satisfaction was asked' ELSE '' END) AS part, CASE doc_id % 3 WHEN 0 THEN 'heading' WHEN 1 THEN 'text' END AS method,

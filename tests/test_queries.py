@@ -20,7 +20,7 @@ def duck(sf_dir):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     if isinstance(x, bool | str):
         return x
