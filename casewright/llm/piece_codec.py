@@ -67,24 +67,24 @@ class Transducer:
         self.step._table(steps)
         self.longest = max(map(len, states))
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The pieces of each pre-token."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The pieces of each pre-token, as bytes of 32-bit numbers: small ones to keep, and quick to join."""
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
         out: list = [None] * len(words)
         paths, fallback = self._paths([words[i] for i in short])
         for i, path in zip(short, paths, strict=True):
             out[i] = path
         for k in fallback:
-            out[short[k]] = self._spelled(words[short[k]], out[short[k]])
+            out[short[k]] = self._spelled(words[short[k]], np.frombuffer(out[short[k]], np.int32)).tobytes()
         for i, w in enumerate(words) if len(short) < len(words) else ():
             if out[i] is None:
-                out[i] = self._spelled(w, self._long(w))
+                out[i] = self._spelled(w, self._long(w)).tobytes()
         return out
 
     def _long(self, word: str) -> np.ndarray:
         if self.model.unigram:
             return self._one_by_one(word)
-        return self.model.in_windows(word, lambda parts: [p.astype(np.int64) for p in self._paths([word[s] for s in parts])[0]])
+        return self.model.in_windows(word, lambda parts: [np.frombuffer(p, np.int32).astype(np.int64) for p in self._paths([word[s] for s in parts])[0]])
 
     def _spelled(self, word: str, pieces: np.ndarray) -> np.ndarray:
         """Letters that are no piece as their bytes."""
@@ -95,8 +95,8 @@ class Transducer:
             last = i + 1
         return np.concatenate([*out, pieces[last:]]).astype(np.int32)
 
-    def _paths(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """The shortest path of each word, and the words on whose path a letter is no piece."""
+    def _paths(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """The shortest path of each word, as bytes, and the words on whose path a letter is no piece."""
         flat, _, lengths = self.model.symbols(words)
         starts, out, fallback = starts_of(lengths), [None] * len(words), []
         order = np.argsort(lengths, kind="stable")
@@ -191,9 +191,9 @@ class Transducer:
         turn = np.lexsort((where, who))
         who, what = who[turn], what[turn].astype(np.int32)
         fallback += rows[np.unique(who[what >= self.model.n])].tolist()
-        cut = np.searchsorted(who, np.arange(len(rows) + 1)).tolist()
+        cut, data = (4 * np.searchsorted(who, np.arange(len(rows) + 1))).tolist(), what.tobytes()
         for r, a, b in zip(rows.tolist(), cut, cut[1:], strict=False):
-            out[r] = what[a:b]
+            out[r] = data[a:b]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes: the pieces' own, without the dummy prefix."""
@@ -220,8 +220,8 @@ def encode_texts(texts: list[str], model_path: str) -> tuple[np.ndarray, np.ndar
         lengths = np.fromiter(map(len, cut), np.int64, len(cut))
         codes, words = numbered([w for row in cut for w in row])
         pieces = cache.look_up(words, machine.encode_words)
-        table = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        flat, n = ragged_take(table, starts_of(np.fromiter(map(len, pieces), np.int64, len(pieces))), codes)
+        table = np.frombuffer(b"".join(pieces), np.int32)
+        flat, n = ragged_take(table, starts_of(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4), codes)
         ids.append(flat)
         counts.append(sum_by_row(n, lengths))
     return np.concatenate(ids), np.concatenate(counts)
