@@ -46,6 +46,10 @@ BROADCAST_IDS = 500_000
 TURNS = (2, 6, 12)
 #: Rows of a block of one key's classes that one task compares.
 BLOCK = 4096
+#: Parts in which all keys are looked through for those that two classes share: one part's shuffle files go before the next are written.
+PARTS = 4
+#: Classes up to which one part is enough, in every turn.
+ONE_PART = 100_000
 
 _U = np.uint64
 
@@ -319,8 +323,14 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     args = (words, sizes, seed, id_col, text_col)
     over = Window.partitionBy("key")
     keyed = rows.filter("keys is not null").select("node", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("least", F.min("node").over(over)).withColumn("most", F.max("node").over(over)).filter("least != most")
-    shared = ws.keep(keyed.select("key", "node").distinct(), "shared")
+
+    def repeated(part: DataFrame) -> DataFrame:
+        part = part.withColumn("least", F.min("node").over(over)).withColumn("most", F.max("node").over(over)).filter("least != most")
+        return part.select("key", "node").distinct()
+
+    many = classes.count() > ONE_PART
+    n = PARTS if many else 1
+    shared = ws.keep_parts([repeated(keyed.filter(F.pmod("key", F.lit(n)) == k)) for k in range(n)], "shared")
 
     # links with the most central class
     counts = shared.groupBy("key").agg(F.count("*").alias("c"))
@@ -329,6 +339,8 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     best = shared.join(tops, "key").filter("node != top.node").groupBy("node").agg(F.max("top")["node"].alias("top"))
     maps = rows.filter("map is not null and n > 0").select("node", "n", "map").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     maps = ws.keep(maps, "maps")
+    plain = ws.keep(rows.select("doc_id", "n", "node", "row"), "plain")
+    ws.drop(f"rows{seed}")  # keys and bitmaps of all classes, most of which share no key
     pairs = best.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
     pairs = ws.keep(_allowed(pairs, maps, sizes), "central")
     links = _verified(pairs, classes, *how, "central", *args)
@@ -341,7 +353,10 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
         done = shared.filter(share < low).groupBy("node").agg(F.collect_list("key").alias("done"))  # no more than a text's own segments
         known = maps.join(done, "node", "left") if turn else maps.withColumn("done", F.lit(None).cast("array<long>"))
         keyed = shared.filter(of)
-        found = ws.keep(_across(keyed, labels, known, sizes, nearest=True), f"nearest{turn}")
+        # rows of keys carry bitmaps, so a late turn goes in parts as large as the first turn; a pair may be found in several
+        step = TURNS[0] if many else high - low
+        parts = [_across(keyed.filter((share >= k) & (share < k + step)), labels, known, sizes, nearest=True) for k in range(low, high, step)]
+        found = ws.keep_parts(parts, f"nearest{turn}").distinct()
         if not found.head(1):
             continue
         more = _verified(found, classes, *how, f"nearest{turn}", *args)
@@ -360,7 +375,6 @@ def near_components(df: DataFrame, ws: Workspace, words: int = 5, percent: int =
     named = classes.join(labels, "node", "left").select("node", "first", "class_size", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("first")["doc_id"].alias("component_id"))
     known = ws.keep(named.join(smallest, "comp").select("node", "component_id", "class_size"), "known")
-    plain = rows.select("doc_id", "n", "node", "row")
     out = plain.filter("n > 0").join(known, "node").select("row", "doc_id", "n", "component_id", "class_size")
     none = plain.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
     return out.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")

@@ -703,6 +703,19 @@ def test_large_groups_are_compared_in_blocks(spark, ws, monkeypatch):
     assert got == plain_components(texts, 4, 85)
 
 
+def test_near_keys_go_in_parts_and_sketches_are_dropped(spark, ws, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ONE_PART", 0)
+    rng, base = random.Random(3), invented(1, 13, 400, 2000)[0] * 3
+    texts = [edited(base, rng, 0.02) for _ in range(12)] + invented(8, 14, 50, 200)
+    kept, drops = [], []
+    keep, drop = ws.keep, ws.drop
+    ws.keep = lambda df, name: (kept.append(name), keep(df, name))[1]
+    ws.drop = lambda name=None: (drops.append(name), drop(name))[1]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(documents(spark, texts), ws, 4, 85).collect()}
+    assert got == plain_components(texts, 4, 85)
+    assert "rows0" in drops and sum(name.startswith("shared/") for name in kept) > 1
+
+
 def test_near_odd_rows(spark, odd, ws):
     got = jaccard_join.near_components(odd, ws).collect()
     assert len(got) == odd.count() and {(r.n_shingles, r.component_id) for r in got if r.doc_id == 0} == {(0, 0)}
