@@ -50,6 +50,8 @@ BLOCK = 4096
 PARTS = 4
 #: Classes up to which one part is enough, in every turn.
 ONE_PART = 100_000
+#: Bytes of texts whose sets are in a Python worker's memory at a time, about.
+PORTION = 1 << 18
 
 _U = np.uint64
 
@@ -171,7 +173,7 @@ def _sketched(df: DataFrame, words: int, sizes: Sizes, seed: int, id_col: str, t
         seen: set[int] = set()
         for column in batches:
             texts = [t or "" for t in column]
-            for part in portions(texts):
+            for part in portions(texts, PORTION):
                 flat, n = shingle_sets(texts[part], words)
                 node, check, keys, maps = sketches(flat, n, sizes, seed)
                 for i, x in enumerate(node.tolist()):
@@ -191,7 +193,7 @@ def _sets(df: DataFrame, words: int, sizes: Sizes, seed: int, id_col: str, text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             texts = [t or "" for t in rows["text"]]
-            for part in portions(texts):
+            for part in portions(texts, PORTION):
                 flat, n = shingle_sets(texts[part], words)
                 at, full = starts_of(n), np.flatnonzero(n)
                 if len(full):
