@@ -131,6 +131,24 @@ def test_blocks_are_many_and_small(spark, monkeypatch):
     assert got == {(i, j) for i in range(40) for j in range(40) if i % 4 and j % 4 and i != j and j % 5 < i % 5}
 
 
+def test_vectors_are_ranked_within_cells(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TARGETS", 4)
+    monkeypatch.setattr(blocks, "REFERENCES", 3)
+    vector = lambda i: None if i % 7 == 0 else [float(i % 5 - 2), float(i % 3), 1.0]
+    rows = frame(spark, [(i, i % 6, ["a", "b"][: 1 + i % 2], float(i), vector(i)) for i in range(48)], "case_id long, day int, articles array<string>, y double, v array<float>").withColumn("judgment_date", F.date_from_unix_date("day"))
+    found = retrieval.nearest_by_vectors(rows, rows, "v", (48, 48), 2).collect()
+    assert len(found) <= 48 * 16 * 2  # the best two of each cell, not all pairs
+
+    def score(i, j):
+        a, b = vector(i), vector(j)
+        return 0.0 if a is None or b is None else sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    for i in range(48):
+        got = sorted((-round(r.score, 7), r.ref_id) for r in found if r.target_id == i)[:2]
+        want = sorted((-round(score(i, j), 7), j) for j in range(48) if j % 6 < i % 6)[:2]
+        assert [j for _, j in got] == [j for _, j in want]
+
+
 def test_routes_packets_and_results(spark, tmp_path):
     rows = frame(spark, [(1, ["6", "3", "6"], "a criminal conviction", "GRANDCHAMBER", "2", "nor;swe"), (2, ["8"], None, None, "x", None)], "case_id int, articles array<string>, facts string, branch string, importance string, country string")
     got = {r.case_id: r for r in records.route_state(rows, "strict").collect()}
