@@ -131,6 +131,21 @@ def test_blocks_are_many_and_small(spark, monkeypatch):
     assert got == {(i, j) for i in range(40) for j in range(40) if i % 4 and j % 4 and i != j and j % 5 < i % 5}
 
 
+def test_later_turns_take_only_undecided_targets(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TARGETS", 16)
+    monkeypatch.setattr(blocks, "REFERENCES", 16)
+    dealt, in_cells = [], retrieval.in_cells
+    monkeypatch.setattr(retrieval, "in_cells", lambda targets, *args, **how: (dealt.append(targets.count()), in_cells(targets, *args, **how))[1])
+    kinds = [(["a"], "x", "n"), (["a", "b"], "y", "n"), (["b", "c", "d"], "x", "n"), (["c"], None, None), (None, "y", "n"), (["a", "b", "c"], "z", "s")]
+    rows = [(i, (i * 7) % 90, *kinds[(i * i + i // 9) % len(kinds)], str(i % 2), "F" if i % 3 else None, i % 4, float(i)) for i in range(160)]
+    rows = frame(spark, [(*r, len(r[2] or [])) for r in rows], "case_id long, day int, articles array<string>, country string, region string, importance string, formation string, n_applicants long, y double, n_articles long")
+    rows = rows.withColumn("judgment_date", F.date_from_unix_date("day"))
+    order = [F.desc("score"), F.asc("ref_id")]
+    got = {(r.target_id, r.ref_id, round(r.score, 9)) for r in retrieval.top_k(retrieval.nearest(rows, rows, (160, 160), 3), ["target_id"], order, 3).collect()}
+    want = {(r.target_id, r.ref_id, round(r.score, 9)) for r in retrieval.top_k(retrieval.case_pairs(rows, rows), ["target_id"], order, 3).collect()}
+    assert got == want and dealt[0] == 160 and all(n < 160 for n in dealt[1:])
+
+
 def test_vectors_are_ranked_within_cells(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TARGETS", 4)
     monkeypatch.setattr(blocks, "REFERENCES", 3)
