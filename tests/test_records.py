@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import extract as E
 from casewright.functions import text as X
-from casewright.operators import blocks, boosting, contract, encode, joins, records, retrieval, sections
+from casewright.operators import blocks, boosting, contract, encode, joins, ranking, records, retrieval, sections
 from casewright.sources import writers
 from casewright.streaming import harvest
 
@@ -131,21 +131,50 @@ def test_blocks_are_many_and_small(spark, monkeypatch):
     assert got == {(i, j) for i in range(40) for j in range(40) if i % 4 and j % 4 and i != j and j % 5 < i % 5}
 
 
-def test_later_turns_take_only_undecided_targets(spark, monkeypatch):
+def counted_cells(monkeypatch):
+    """Small cells, and how many targets each turn deals out."""
     monkeypatch.setattr(blocks, "TARGETS", 16)
     monkeypatch.setattr(blocks, "REFERENCES", 16)
     dealt, in_cells = [], retrieval.in_cells
     monkeypatch.setattr(retrieval, "in_cells", lambda targets, *args, **how: (dealt.append(targets.count()), in_cells(targets, *args, **how))[1])
+    return dealt
+
+
+def odd_cases(spark):
     kinds = [(["a"], "x", "n"), (["a", "b"], "y", "n"), (["b", "c", "d"], "x", "n"), (["c"], None, None), (None, "y", "n"), (["a", "b", "c"], "z", "s")]
     rows = [(i, (i * 7) % 90, *kinds[(i * i + i // 9) % len(kinds)], str(i % 2), "F" if i % 3 else None, i % 4, float(i)) for i in range(160)]
     rows = frame(spark, [(*r, len(r[2] or [])) for r in rows], "case_id long, day int, articles array<string>, country string, region string, importance string, formation string, n_applicants long, y double, n_articles long")
-    rows = rows.withColumn("judgment_date", F.date_from_unix_date("day"))
+    return rows.withColumn("judgment_date", F.date_from_unix_date("day"))
+
+
+def test_later_turns_take_only_undecided_targets(spark, monkeypatch):
+    dealt, rows = counted_cells(monkeypatch), odd_cases(spark)
     order = [F.desc("score"), F.asc("ref_id")]
     got = {(r.target_id, r.ref_id, round(r.score, 9)) for r in retrieval.top_k(retrieval.nearest(rows, rows, (160, 160), 3), ["target_id"], order, 3).collect()}
     want = {(r.target_id, r.ref_id, round(r.score, 9)) for r in retrieval.top_k(retrieval.case_pairs(rows, rows), ["target_id"], order, 3).collect()}
     assert got == want and dealt[0] == 160 and all(n < 160 for n in dealt[1:])
 
 
+def test_cascade_looks_at_all_pairs_of_no_target_that_needs_fewer(spark, monkeypatch):
+    dealt, rows = counted_cells(monkeypatch), odd_cases(spark)
+    steps = [("articles", (F.col("shared") == F.col("t_n_articles")) & (F.col("shared") == F.col("r_n_articles"))), *((c, F.col(f"t_{c}") == F.col(f"r_{c}")) for c in retrieval.STEPS[1:5]), ("recent", F.col("days") <= 1825)]
+    for always in (2, 0):
+        got = {(r.target_id, r.ref_id) for r in retrieval.narrowed(rows, rows, (160, 160), enough=3, always=always).collect()}
+        want = {(r.target_id, r.ref_id) for r in ranking.cascade(retrieval.case_pairs(rows, rows), ["target_id"], steps, 3, always).collect()}
+        assert got == want
+        if always:
+            assert len(dealt) > 2 and all(n < 160 for n in dealt[1:])
+
+
+def test_points_of_a_grid_are_met_first(spark, monkeypatch):
+    dealt = counted_cells(monkeypatch)
+    rows = odd_cases(spark).withColumn("z", F.col("n_applicants") / 3)
+    found = [retrieval.nearest_by_features(rows, rows, ["z"], (160, 160), 3, grid=grid) for grid in (True, False)]
+    order = [F.asc(F.round("distance", 9)), F.asc("ref_id")]
+    got, want = ({(r.target_id, r.ref_id, r["rank"]) for r in retrieval.top_k(f, ["target_id"], order, 3).collect()} for f in found)
+    assert got == want and dealt[1] < 160
+
+
 def test_vectors_are_ranked_within_cells(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TARGETS", 4)
     monkeypatch.setattr(blocks, "REFERENCES", 3)
