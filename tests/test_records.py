@@ -193,6 +193,21 @@ def test_vectors_are_ranked_within_cells(spark, monkeypatch):
         assert [j for _, j in got] == [j for _, j in want]
 
 
+def test_terms_are_ranked_within_cells(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TARGETS", 4)
+    monkeypatch.setattr(blocks, "REFERENCES", 12)
+    texts = [None if i % 11 == 0 else " ".join(["all", f"w{i % 4}", f"w{i % 4}", f"x{i % 9}", f"only{i}"][: 1 + i % 5]) for i in range(48)]
+    rows = frame(spark, [(i, i % 6, ["a", "b"][: 1 + i % 2], float(i), texts[i]) for i in range(48)], "case_id long, day int, articles array<string>, y double, text string").withColumn("judgment_date", F.date_from_unix_date("day"))
+    words = retrieval.terms(rows, "case_id", "text")
+    sides = retrieval.term_vectors(rows, words, F.col("tf") / 10, retrieval.hash_seed(words.select("term").distinct()))
+    found = retrieval.nearest_by_terms(sides, sides, (48, 48), 2).collect()
+    assert len(found) <= 48 * 16 * 2  # the best two of each cell, not all pairs
+    count = [{w: (t or "").split().count(w) for w in (t or "").split()} for t in texts]
+    for i in range(48):
+        got = sorted((-round(r.score, 7), r.ref_id) for r in found if r.target_id == i)[:2]
+        assert got == sorted((-round(sum(n * count[j].get(w, 0) for w, n in count[i].items()) / 100, 7), j) for j in range(48) if j % 6 < i % 6)[:2]
+
+
 def test_routes_packets_and_results(spark, tmp_path):
     rows = frame(spark, [(1, ["6", "3", "6"], "a criminal conviction", "GRANDCHAMBER", "2", "nor;swe"), (2, ["8"], None, None, "x", None)], "case_id int, articles array<string>, facts string, branch string, importance string, country string")
     got = {r.case_id: r for r in records.route_state(rows, "strict").collect()}
