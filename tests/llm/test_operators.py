@@ -447,6 +447,26 @@ def test_lm_long_words_have_no_floor(spark, ws):
     assert got[held[0]].score < -700 and got[held[1]].score < -20_000 and got[held[1]].bits_per_byte > 2
 
 
+def test_lm_words_without_objects():
+    bodies = [lm_score.body_of(t) for t in ("", "a", "the  the\na", None, "é " * 50, *invented(30, 21))]
+    words, many = lm_score.words_of(bodies)
+    assert words.to_pylist() == [w for b in bodies for w in b.split()] and many.tolist() == [len(b.split()) for b in bodies]
+    assert lm_score.words_of([b"\n"])[1].tolist() == [0]
+
+
+def test_lm_continuations_travel_once(spark):
+    docs = spark.createDataFrame([(i // 20, i % 5 == 1, lm_score.body_of(t)) for i, t in enumerate(invented(60, 5, 200))], "chunk long, held_out boolean, body binary")
+    memory = lm_score._memory(docs)
+    plan = memory._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 3  # expected bytes, and what chunks ask for: counted, then joined
+    seen, texts = Counter(), [(r.chunk, r.held_out, bytes(r.body)) for r in docs.collect()]
+    for _, held, body in texts:
+        for _, at, n, ctx in zip(*(x.tolist() for x in lm_score.Stream([body]).anchors()), strict=True):
+            seen[ctx, body[at : at + n]] += not held
+    for r in memory.filter("n is not null").collect():
+        assert (r.n, bytes(r.seg)) == max((n, s) for (c, s), n in seen.items() if c == r.ctx)
+
+
 def test_lm_empty_table(odd, ws):
     assert lm_score.score(odd.limit(0), ws).count() == 0
 
