@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.bpe import LONG, MARK, PieceModel, WordCache, piece_model, pre_tokens
-from casewright.llm.common import bounded_batches, numbered, portions, ragged_take, starts_of, sum_by_row
+from casewright.llm.bpe import LONG, MARK, PieceModel, WordCache, piece_model
+from casewright.llm.common import bounded_batches, portions, ragged_take, starts_of, sum_by_row
 
 
 class Transducer:
@@ -42,7 +43,8 @@ class Transducer:
         raw = [p.replace(MARK, " ").encode() for p in text]
         for value, i in model.bytes_of.items():
             raw[i] = bytes([value])
-        self.raw, self.raw_sizes = raw, np.array([len(r) for r in raw])
+        self.raw, self.raw_sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+        self.raw_starts = starts_of(self.raw_sizes)
         self.bytes_of = np.array([model.bytes_of[b] for b in range(256)])
 
     def _automaton(self, out: np.ndarray) -> None:
@@ -74,11 +76,11 @@ class Transducer:
         paths, fallback = self._paths([words[i] for i in short])
         for i, path in zip(short, paths, strict=True):
             out[i] = path
-        for k in fallback:
-            out[short[k]] = self._spelled(words[short[k]], np.frombuffer(out[short[k]], np.int32)).tobytes()
+        for k, path in zip(fallback, self._spelled([words[short[k]] for k in fallback], [out[short[k]] for k in fallback]), strict=True):
+            out[short[k]] = path
         for i, w in enumerate(words) if len(short) < len(words) else ():
             if out[i] is None:
-                out[i] = self._spelled(w, self._long(w)).tobytes()
+                out[i] = self._spelled([w], [self._long(w).astype(np.int32).tobytes()])[0]
         return out
 
     def _long(self, word: str) -> np.ndarray:
@@ -86,14 +88,19 @@ class Transducer:
             return self._one_by_one(word)
         return self.model.in_windows(word, lambda parts: [np.frombuffer(p, np.int32).astype(np.int64) for p in self._paths([word[s] for s in parts])[0]])
 
-    def _spelled(self, word: str, pieces: np.ndarray) -> np.ndarray:
+    def _spelled(self, words: list[str], paths: list[bytes]) -> list[bytes]:
         """Letters that are no piece as their bytes."""
-        lone = np.flatnonzero(pieces >= self.model.n)
-        ends, out, last = np.cumsum(self.model.piece_len[pieces]), [], 0
-        for i in lone.tolist():
-            out += [pieces[last:i], self.bytes_of[list(word[ends[i] - 1].encode("utf-8", "surrogatepass"))]]
-            last = i + 1
-        return np.concatenate([*out, pieces[last:]]).astype(np.int32)
+        pieces, lengths = np.frombuffer(b"".join(paths), np.int32), np.fromiter(map(len, paths), np.int64, len(paths)) // 4
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lone = pieces >= self.model.n
+        letters = codes[np.cumsum(self.model.piece_len[pieces])[lone] - 1]  # words follow one another, and so do their pieces
+        size = np.ones(len(pieces), np.int64)
+        size[lone] += (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
+        out, spelled = np.empty(int(size.sum()), np.int32), np.repeat(lone, size)
+        out[~spelled] = pieces[~lone]
+        out[spelled] = self.bytes_of[np.frombuffer(letters.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)]
+        at, data = (4 * starts_of(sum_by_row(size, lengths))).tolist(), out.tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _paths(self, words: list[str]) -> tuple[list[bytes], list[int]]:
         """The shortest path of each word, as bytes, and the words on whose path a letter is no piece."""
@@ -197,7 +204,7 @@ class Transducer:
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The texts' bytes: the pieces' own, without the dummy prefix."""
-        whole, first = b"".join(map(self.raw.__getitem__, ids.tolist())), self.model.prefix.encode()
+        whole, first = ragged_take(self.raw, self.raw_starts, ids)[0].tobytes(), self.model.prefix.encode()
         at = starts_of(sum_by_row(self.raw_sizes[ids], lengths))
         return [whole[a + (first != b"" and whole[a : a + 1] == first) : b] for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
 
@@ -211,14 +218,28 @@ def transducer(path: str) -> Transducer:
 _caches: dict[str, WordCache] = {}
 
 
+def coded_pre_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The pre-tokens of normalised texts as numbers of distinct ones, how many each text has, and the distinct ones.
+
+    They are those of ``pre_tokens``: cut before each word's first space.
+    """
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    at = starts_of(np.fromiter(map(len, texts), np.int64, len(texts)))
+    space = flat == 32
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    begin[at[:-1][at[:-1] < at[1:]]] = True
+    begin = np.flatnonzero(begin)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(flat))), pa.py_buffer(flat)]).dictionary_encode()
+    return words.indices.to_numpy(), np.diff(np.searchsorted(begin, at)), [w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]
+
+
 def encode_texts(texts: list[str], model_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts, one after another, and how many each has."""
     machine, cache = transducer(model_path), _caches.setdefault(model_path, WordCache(300_000))
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for part in portions(texts, 3 << 20):
-        cut = [pre_tokens(machine.model.normalised(t)) for t in texts[part]]
-        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes, words = numbered([w for row in cut for w in row])
+        codes, lengths, words = coded_pre_tokens([machine.model.normalised(t).encode("utf-8", "surrogatepass") for t in texts[part]])
         pieces = cache.look_up(words, machine.encode_words)
         table = np.frombuffer(b"".join(pieces), np.int32)
         flat, n = ragged_take(table, starts_of(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4), codes)

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from casewright.llm import exact_dedup, jaccard_join, line_dedup, lm_score, piece_codec, quality_model, quality_rules, source_mix, text_stats, token_counts, warc
-from casewright.llm.bpe import piece_model
+from casewright.llm.bpe import piece_model, pre_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +95,19 @@ def test_token_and_codec_odd_rows(spark, odd):
     assert token_counts.token_counts(odd.limit(0), MODEL).count() == 0 and piece_codec.encode(odd.limit(0), MODEL).count() == 0
 
 
+def test_pre_tokens_and_spelling_in_arrays(monkeypatch):
+    texts = ["", " ", *(" " + t for t in TEXTS), " x \ud800 y", "no space first"]
+    codes, lengths, words = piece_codec.coded_pre_tokens([t.encode("utf-8", "surrogatepass") for t in texts])
+    assert [words[c] for c in codes] == [w for t in texts for w in pre_tokens(t)] and lengths.tolist() == [len(pre_tokens(t)) for t in texts]
+    assert len(set(words)) == len(words) and piece_codec.coded_pre_tokens([b""])[1].tolist() == [0]
+    machine, calls, plain = piece_codec.transducer(MODEL), [], piece_codec.Transducer._spelled
+    monkeypatch.setattr(piece_codec.Transducer, "_spelled", lambda self, *a: (calls.append(1), plain(self, *a))[1])
+    odd = [" 𝕏a", " \ud800", " b🎉🎉", " plain", " \u0e01x\u0e02"]
+    got = [np.frombuffer(p, np.int32) for p in machine.encode_words(odd)]
+    assert len(calls) == 1  # all words of a batch at once
+    assert [machine.raw[np.concatenate([np.arange(machine.raw_starts[i], machine.raw_starts[i + 1]) for i in p])].tobytes() for p in got] == [w.encode("utf-8", "surrogatepass") for w in odd]
+
+
 def test_long_stretches():
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(30_000)), "a" * 9_000, "日本語テキスト" * 1_500, "ab é" * 20 + "return" * 2_000]
