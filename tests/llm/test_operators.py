@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -428,6 +429,62 @@ def test_stretches_do_not_depend_on_neighbours():
     assert together == pytest.approx([lm_score.log2_texts(model, [b], [[]])[0] for b in bodies], rel=1e-4)
 
 
+def test_stretches_of_many_texts_go_together():
+    bodies = [lm_score.body_of(t) for t in invented(16, 8, 400)]
+    bodies = [(b * 20)[:3000] for b in bodies]
+    model = lm_model(bodies)
+
+    def calls(some):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "c_call"
+
+        lm_score.log2_texts(model, some, [[] for _ in some])  # what is worked out once for the model
+        sys.setprofile(count)
+        try:
+            lm_score.log2_texts(model, some, [[] for _ in some])
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls(bodies) < 3 * calls(bodies[:1])  # a stretch of all texts at a time, not text by text
+
+
+def test_large_weights_are_clipped():
+    bodies = [lm_score.body_of(t) for t in invented(20, 8, 400)]
+    model = lm_model(bodies)
+    model.weights[:, :, : lm_score.K] = 4
+    assert model.cells()[1] > lm_score.WIDE // 2
+    assert lm_score.log2_texts(model, [b"x\n"], [[]])[0] >= 4 * 4 * math.log2(1e-6)
+    together = lm_score.log2_texts(model, bodies, [[] for _ in bodies])
+    assert np.isfinite(together).all() and together == pytest.approx([lm_score.log2_texts(model, [b], [[]])[0] for b in bodies], rel=1e-3)
+
+
+def test_lm_words_stay_arrays():
+    words = [b"", "é".encode(), b"a", b"the"]
+    got, counts = lm_score.unpacked(*lm_score.packed(words, np.array([3, 0, 2**40, 1])))
+    assert got.to_pylist() == words and got.type == "large_binary" and counts.tolist() == [3, 0, 2**40, 1]
+    assert lm_score.unpacked(*lm_score.packed([b""], np.array([5])))[0].to_pylist() == [b""]
+
+
+def test_lm_expected_leaves_out_the_only_occurrence():
+    body = lm_score.body_of(invented(1, 9, 4000)[0] * 3)
+    _, at, n, ctx = lm_score.Stream([body]).anchors()
+    order = np.argsort(ctx, kind="stable")
+    first = order[np.r_[True, np.diff(ctx[order]) != 0]]
+    segs = np.array([body[a : a + k] for a, k in zip(at[first].tolist(), n[first].tolist(), strict=True)], object)
+    once, twice = (lm_score.Memory(ctx[first], segs, np.full(len(first), times)) for times in (1, 2))
+    seg = dict(zip(ctx[first].tolist(), segs, strict=True))
+    whole = [(a, seg[c][:k]) for a, k, c in zip(at.tolist(), n.tolist(), ctx.tolist(), strict=True)]
+    other = [(a, s) for (a, s), k in zip(whole, n.tolist(), strict=True) if body[a : a + k] != seg[ctx[at.tolist().index(a)]]]
+    assert whole and lm_score._expected([body], np.array([True]), once) == [whole]
+    assert lm_score._expected([body], np.array([False]), twice) == [whole] and lm_score._expected([body], np.array([False]), once) == [other]
+    none = lm_score.Memory(ctx[:0], segs[:0], n[:0])
+    assert lm_score._expected([body, b"\n"], np.array([True, False]), none) == [[], []]
+
+
 def test_lm_order_repeats_and_held_out_texts(spark, ws):
     rng = random.Random(4)
     texts = invented(260, 13, 120)
