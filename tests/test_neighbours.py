@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from casewright.operators import blocks, retrieval
-from casewright.plans.queries import QUERIES
+from casewright.plans.queries import QUERIES, _sides
 
 
 def test_every_case_is_predicted(spark, sf_dir):
@@ -26,3 +26,8 @@ def test_references_by_terms_are_read_not_dealt(spark, monkeypatch):
     for i in range(60):
         want = sorted((-round(sum(texts[i].split().count(w) * texts[j].split().count(w) for w in set(texts[i].split())) / 100, 7), j) for j in range(60) if j % 7 < i % 7)[:2]
         assert sorted((-r.score, r.ref_id) for r in rows if r.target_id == i) == want
+
+
+def test_the_case_view_is_made_once(spark, sf_dir):
+    for side in _sides(spark, sf_dir)[:2]:
+        assert "Join" not in side._jdf.queryExecution().toString()
